@@ -30,6 +30,7 @@ def get_spark(cpus: int | str = "*", app: str = "cardlake", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
