@@ -30,7 +30,7 @@ def normalize_name(c: Column | str) -> Column:
     remaining words sorted by code point and joined by one blank. NULL/'' -> ''."""
     words = F.split(F.regexp_replace(F.lower(_col(c)), NON_WORD, " "), " ")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*TITLE_WORDS))
-    return F.coalesce(F.array_join(F.array_sort(kept), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(kept), " "), F.lit(""))
 
 
 def format_title(c: Column | str, prefix: str = "Pr. ") -> Column:

@@ -26,7 +26,7 @@ def py_strip(c: Column | str) -> Column:
 def extract_emails(c: Column | str) -> Column:
     """Distinct e-mails of a text, sorted so that any later choice among them is
     deterministic. NULL text -> empty array."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(EMAIL), 0)))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(EMAIL), 0)))
 
 
 def parse_fields(c: Column | str) -> Column:
@@ -51,7 +51,7 @@ def labelled_emails(c: Column | str, label_part: str = "mail") -> Column:
     distinct per field (one card's contact e-mails)."""
     fields = F.filter(parse_fields(c), lambda p: F.instr(p["label"], label_part) > 0)
     per_field = F.transform(
-        fields, lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(p["value"], F.lit(EMAIL), 0)))
+        fields, lambda p: F.sort_array(F.array_distinct(F.regexp_extract_all(p["value"], F.lit(EMAIL), 0)))
     )
     return F.flatten(per_field)
 

@@ -28,15 +28,25 @@ def ordered_list(order_by: Sequence[str | Column], fields: Sequence[str | Column
 
     Each element is packed as ``struct(order keys..., value)`` before ``collect_list``,
     which keeps NULL values (a bare ``collect_list`` drops them) and lets
-    ``array_sort`` order by the keys; the keys are projected away afterwards.
+    ``sort_array`` (native, no lambda comparator) order by the keys; the keys are projected away afterwards.
     ``scalar=True`` with one field gives ``array<field type>`` instead of
     ``array<struct>``.
     """
-    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order_by)]
     cols = [F.col(c) if isinstance(c, str) else c for c in fields]
+    keys_named, fields_named = _names(order_by), _names(fields)
+    if not scalar and keys_named and fields_named and keys_named == fields_named[: len(keys_named)]:
+        # the order keys are the leading fields: sort the value structs themselves and
+        # ship each field once
+        return F.sort_array(F.collect_list(F.struct(*cols)))
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order_by)]
     value = cols[0] if scalar else F.struct(*cols)
     packed = F.struct(*keys, value.alias("_v"))
-    return F.transform(F.array_sort(F.collect_list(packed)), lambda e: e["_v"])
+    return F.transform(F.sort_array(F.collect_list(packed)), lambda e: e["_v"])
+
+
+def _names(cols: Sequence[str | Column]) -> list[str] | None:
+    """Plain column names, or None when any item is an expression."""
+    return [c for c in cols] if all(isinstance(c, str) for c in cols) else None
 
 
 def nest_children(

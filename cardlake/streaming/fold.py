@@ -24,7 +24,7 @@ EVENT_SCHEMA = "msg_id long, seq long, type string, text string"
 def fold_expr(events: Column) -> Column:
     """Fold an ``array<struct<seq, type, text>>`` (any order) into the final text;
     NULL when no delta/done/error occurred."""
-    ordered = F.array_sort(F.array_distinct(events))
+    ordered = F.sort_array(F.array_distinct(events))
 
     def step(acc, e):
         t = F.coalesce(e["text"], F.lit(""))
