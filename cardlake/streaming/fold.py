@@ -76,9 +76,10 @@ def fold_stream(spark: SparkSession, path: str, fmt: str = "json", key: str = "m
     return fold_events(src, key)
 
 
-def start_fold(stream: DataFrame, sink: str, checkpoint: str, query_name: str | None = None) -> DataStreamWriter:
+def start_fold(stream: DataFrame, sink: str, checkpoint: str, query_name: str | None = None,
+               mode: str = "update") -> DataStreamWriter:
     """Writer for the folded stream; the checkpoint folder must be on shared storage."""
-    w = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if sink == "memory":
         w = w.format("memory").queryName(query_name or "folded")
     else:
