@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardlake.functions.names import format_title
 from cardlake.functions.text import extract_emails, parse_fields, py_strip
-from cardlake.operators import cards, ground, nest, retrieve
+from cardlake.operators import cards, embed, ground, nest, retrieve
 from cardlake.session import table
 from cardlake.streaming import fold
 
@@ -292,6 +292,44 @@ def concat_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return fold.concat_chunks(ev)
 
 
+# Fixed value: prompt template of the ask path ({context} and {input} are filled in).
+PROMPT = "Contexte fourni :\n{context}\n\nQuestion de l'utilisateur :\n{input}\n\nRéponse de l'assistant :\n"
+
+
+def _text_retrieval(spark: SparkSession, sf: str, dim: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole user turns ask whole documents: hashed bag-of-words vectors (J1), keyword
+    intent over the language bank (J2), typed top-4 by language and general top-3 (J4)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("type"),
+                                                F.col("text").alias("page_content"))
+    cards_v = embed.hashing_encoder(docs, "page_content", "vec", dim)
+    turns = _user_turns(spark, sf).select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
+                                          F.col("text").alias("question"))
+    q = retrieve.classify(turns, LANG_BANK, text_col="question")
+    qv = embed.hashing_encoder(q, "question", "qvec", dim)
+    typed = retrieve.knn(qv.where(F.col("intent").isNotNull()).select("qid", F.col("intent").alias("qtype"), "qvec"),
+                         cards_v.select("card_id", "type", "vec"), 4, typed=True)
+    general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"),
+                           cards_v.select("card_id", "type", "vec"), 3, typed=False)
+    content = docs.select("card_id", "page_content")
+    merged = retrieve.merge_ranked([typed.join(content, "card_id"), general.join(content, "card_id")])
+    return merged, turns, docs
+
+
+def hybrid_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed then general retrieval of documents for every user turn, merged with
+    duplicates removed (J1, J2, J4, C11, C12, F1, G2, E10).  No SQL twin: the hashed
+    encoder has no DuckDB equivalent; tested against brute force instead."""
+    merged, _, _ = _text_retrieval(spark, sf)
+    return merged.select("qid", "position", "card_id", "stage")
+
+
+def prompts_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One prompt per user turn: retrieved documents in order, then the question."""
+    merged, turns, _ = _text_retrieval(spark, sf)
+    ctx = retrieve.assemble_context(merged)
+    return retrieve.fill_prompt(ctx, turns, PROMPT)
+
+
 QUERIES = {
     "cards_optional_lines": cards_optional_lines,
     "corpus_union": corpus_union,
@@ -308,4 +346,6 @@ QUERIES = {
     "ground_audit": ground_audit,
     "fold_events": fold_events,
     "concat_chunks": concat_chunks,
+    "hybrid_documents": hybrid_documents,
+    "prompts_documents": prompts_documents,
 }
