@@ -38,3 +38,9 @@ def decode_twice(c: Column | str, schema: DataType | str) -> Column:
     is_text = F.schema_of_variant(v) == "STRING"
     inner = F.when(is_text, F.variant_get(v, "$", "string"))
     return F.when(is_text, F.from_json(inner, schema, opts)).otherwise(F.from_json(x, schema, opts))
+
+
+def compose_object(layout) -> Column:
+    """Nested object from ``[(key, [(inner key, value column), ...]), ...]``, keys in the
+    given order (H14, H18); render with :func:`to_json_text`."""
+    return F.struct(*[F.struct(*[v.alias(k2) for k2, v in inner]).alias(k) for k, inner in layout])

@@ -37,6 +37,15 @@ def snake_case(name: str) -> str:
     return out
 
 
+def snake_case_col(c: Column | str) -> Column:
+    """:func:`snake_case` as a column expression, for keys that arrive as data."""
+    x = F.col(c) if isinstance(c, str) else c
+    x = F.regexp_replace(F.regexp_replace(x, r"[^a-zA-Z0-9_]+", "_"), "_+", "_")
+    x = F.lower(F.regexp_replace(x, r"([0-9])([a-zA-Z])", "$1_$2"))
+    x = F.when(x.rlike("^[0-9]"), F.concat(F.lit("_"), x)).otherwise(x)
+    return F.when(F.length(x) > 1, F.regexp_replace(x, "_$", "x")).otherwise(x)
+
+
 def unwrap(df: DataFrame, key: str) -> DataFrame:
     """Envelope object -> one row with its fields as columns, only when present (A3)."""
     return df.where(F.col(key).isNotNull()).select(f"{key}.*")

@@ -30,9 +30,10 @@ def read_frames_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEM
     return parse_frames(spark.readStream.option("lineSep", FRAME_SEP).text(path), schema)
 
 
-def encode_frames(events: DataFrame, fields: tuple[str, ...] = ("type", "text")) -> DataFrame:
-    """Events -> one ``value`` per frame, JSON payload, non-ASCII kept as is."""
-    return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*fields))).alias("value"))
+def encode_frames(events: DataFrame, fields: tuple[str, ...] = ("type", "text"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events -> one ``value`` per frame, JSON payload, non-ASCII kept as is; ``keep``
+    columns ride along unencoded."""
+    return events.select(*keep, F.concat(F.lit("data: "), F.to_json(F.struct(*fields))).alias("value"))
 
 
 def write_frames(events: DataFrame, path: str, fields: tuple[str, ...] = ("msg_id", "seq", "type", "text")) -> None:

@@ -83,3 +83,21 @@ def test_extract_and_fields(spark):
         ("nom", "X"), ("adresse e-mail", "b@x.org, a@x.org."), ("autre mail", "c@y.org")]
     assert _one(spark, labelled_emails, text) == ["a@x.org.", "b@x.org", "c@y.org"]
     assert _one(spark, py_strip, "\t a b \n") == "a b"
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="aZ09_ é/#-Hç", min_size=0, max_size=10), min_size=1, max_size=8))
+def test_snake_case_column_matches_schema_rule(spark, names):
+    from cardlake.operators.shred import snake_case, snake_case_col
+
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    got = [r.y for r in df.select(snake_case_col("x").alias("y")).collect()]
+    assert got == [snake_case(n) for n in names]
+
+
+def test_snake_case_examples(spark):
+    from cardlake.operators.shred import snake_case_col
+
+    for raw, want in {"filière": "fili_re", "spécialité": "sp_cialitx", "8H30 / 10H": "_8_h30_10_h",
+                      "UNITED STATES": "united_states", "": ""}.items():
+        assert _one(spark, snake_case_col, raw) == want, raw
