@@ -23,10 +23,18 @@ def py_strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
+def find_emails(c: Column | str) -> Column:
+    """Every e-mail match of a text in order (repeats kept). Texts without an ``@``
+    cannot match and skip the regex scan. NULL text -> empty array."""
+    t = F.coalesce(_col(c), F.lit(""))
+    return F.when(F.instr(t, "@") > 0, F.regexp_extract_all(t, F.lit(EMAIL), 0)).otherwise(
+        F.array().cast("array<string>"))
+
+
 def extract_emails(c: Column | str) -> Column:
     """Distinct e-mails of a text, sorted so that any later choice among them is
     deterministic. NULL text -> empty array."""
-    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(EMAIL), 0)))
+    return F.sort_array(F.array_distinct(find_emails(c)))
 
 
 def parse_fields(c: Column | str) -> Column:
@@ -50,10 +58,10 @@ def labelled_emails(c: Column | str, label_part: str = "mail") -> Column:
     """E-mails found in the fields whose label contains ``label_part``, in field order,
     distinct per field (one card's contact e-mails)."""
     fields = F.filter(parse_fields(c), lambda p: F.instr(p["label"], label_part) > 0)
-    per_field = F.transform(
-        fields, lambda p: F.sort_array(F.array_distinct(F.regexp_extract_all(p["value"], F.lit(EMAIL), 0)))
-    )
-    return F.flatten(per_field)
+    per_field = F.transform(fields, lambda p: extract_emails(p["value"]))
+    # a card without '@' has no e-mail in any field: skip parsing its lines
+    return F.when(F.instr(F.coalesce(_col(c), F.lit("")), "@") > 0, F.flatten(per_field)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def word_tokens(c: Column | str, min_len: int = 0) -> Column:

@@ -185,7 +185,7 @@ def forced_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     """Cards named exactly (whole word) in each question: customers, then nations."""
     corpus = customer_cards(spark, sf).unionByName(_nation_cards(spark, sf))
     ids = retrieve.identifier_table(corpus, {"client": "identifier", "nation": "identifier"})
-    hits = retrieve.forced_cards(order_questions(spark, sf), ids)
+    hits = retrieve.forced_cards(order_questions(spark, sf), ids, with_content=False)
     return hits.select("qid", "index_ord", "key", "card_id")
 
 
