@@ -298,20 +298,22 @@ PROMPT = "Contexte fourni :\n{context}\n\nQuestion de l'utilisateur :\n{input}\n
 
 def _text_retrieval(spark: SparkSession, sf: str, dim: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Whole user turns ask whole documents: hashed bag-of-words vectors (J1), keyword
-    intent over the language bank (J2), typed top-4 by language and general top-3 (J4)."""
+    intent over the language bank (J2), typed top-4 by language and general top-3 (J4),
+    duplicates removed by content id.  The encoded corpus is checkpointed once (the
+    index build) and serves both searches."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("type"),
                                                 F.col("text").alias("page_content"))
-    cards_v = embed.hashing_encoder(docs, "page_content", "vec", dim)
+    cards_v = embed.hashing_encoder(docs, "page_content", "vec", dim).select("card_id", "type", "vec").checkpoint()
     turns = _user_turns(spark, sf).select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
                                           F.col("text").alias("question"))
     q = retrieve.classify(turns, LANG_BANK, text_col="question")
     qv = embed.hashing_encoder(q, "question", "qvec", dim)
     typed = retrieve.knn(qv.where(F.col("intent").isNotNull()).select("qid", F.col("intent").alias("qtype"), "qvec"),
-                         cards_v.select("card_id", "type", "vec"), 4, typed=True)
-    general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"),
-                           cards_v.select("card_id", "type", "vec"), 3, typed=False)
-    content = docs.select("card_id", "page_content")
-    merged = retrieve.merge_ranked([typed.join(content, "card_id"), general.join(content, "card_id")])
+                         cards_v, 4, typed=True)
+    general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"), cards_v, 3,
+                           typed=False)
+    ids = retrieve.content_ids(docs)
+    merged = retrieve.merge_ranked([typed.join(ids, "card_id"), general.join(ids, "card_id")], key_col="content_id")
     return merged, turns, docs
 
 
@@ -325,8 +327,8 @@ def hybrid_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompts_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One prompt per user turn: retrieved documents in order, then the question."""
-    merged, turns, _ = _text_retrieval(spark, sf)
-    ctx = retrieve.assemble_context(merged)
+    merged, turns, docs = _text_retrieval(spark, sf)
+    ctx = retrieve.assemble_context(merged.join(docs.select("card_id", "page_content"), "card_id"))
     return retrieve.fill_prompt(ctx, turns, PROMPT)
 
 
