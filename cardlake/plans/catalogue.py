@@ -137,7 +137,7 @@ def json_strict_lenient(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Prefix exclusion plus present-and-not-containing filter."""
+    """Prefix exclusion plus present-and-not-containing filter."""
     p = table(spark, sf, "part")
     return p.where(
         ~F.col("p_name").startswith("small")

@@ -104,7 +104,9 @@ def _clean_list(c: Column) -> Column:
 
 
 def member_labs(labs: DataFrame) -> DataFrame:
-    """member key -> (lab, acronym, director, team), first wins."""
+    """member key -> (lab, acronym, director, team), first wins (C4, C5, E6).  Teams and
+    members are read from the nested ``equipes`` column, never parsed back from text
+    (H4)."""
     teams = labs.select("_pos", "nom_laboratoire", "acronyme", "directeur",
                         F.posexplode(F.coalesce("equipes", F.array())).alias("t_idx", "t"))
     mem = teams.select("_pos", "nom_laboratoire", "acronyme", "directeur", "t_idx", F.col("t.nom_equipe").alias("team"),
