@@ -50,14 +50,18 @@ def evaluate(questions: DataFrame, make_answerer: Callable[[], Callable[[str], s
 
 
 def latency_report(results: DataFrame, value: str = "temps_reponse_secondes", by: str = "category") -> DataFrame:
-    """Count, mean, median, min, max per category, rounded to 2."""
-    return results.groupBy(by).agg(
+    """Count, mean, median, min, max per category, rounded to 2 (E11).  The median is
+    exact with bounded memory per category (:func:`cardlake.operators.stats.exact_quantile`)."""
+    from cardlake.operators.stats import exact_quantile
+
+    basic = results.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(value), 2).alias("mean"),
-        F.round(F.median(value), 2).alias("median"),
         F.round(F.min(value), 2).alias("min"),
         F.round(F.max(value), 2).alias("max"),
     )
+    med = exact_quantile(results, [by], value, 0.5, "median")
+    return basic.join(med, by, "left").select(by, "n", "mean", F.round("median", 2).alias("median"), "min", "max")
 
 
 def write_results(results: DataFrame, path: str) -> None:
