@@ -61,3 +61,25 @@ def test_fold_stream_out_of_order(spark, scratch):
         q.stop()
     got = {r.msg_id: r.text for r in spark.table("folded_test").collect()}
     assert got == {9: "abc", 8: fold.ERROR_PREFIX + "e"}
+
+
+def test_frames_stream_fold(spark, scratch):
+    """Frames arriving as files in a stream (A24, L4) folded per message (L1)."""
+    src = os.path.join(scratch, "frames-in")
+    os.makedirs(src)
+
+    def frame(msg, seq, typ, text):
+        return "data: " + json.dumps({"msg_id": msg, "seq": seq, "type": typ, "text": text}, ensure_ascii=False) + "\n\n"
+
+    with open(os.path.join(src, "a.txt"), "w") as f:
+        f.write(frame(1, 1, "delta", "lo") + frame(1, 0, "delta", "Hel") + frame(2, 0, "delta", "é"))
+    stream = fold.fold_events(frames.read_frames_stream(spark, src))
+    q = fold.start_fold(stream, "memory", os.path.join(scratch, "ckpt-frames"), "frames_folded", mode="complete").start()
+    try:
+        q.processAllAvailable()
+        with open(os.path.join(src, "b.txt"), "w") as f:
+            f.write(frame(1, 2, "done", "Hello!") + frame(2, 1, "delta", "t") + 'data: {"msg_id": 2, "seq": 2, "ty')
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert {r.msg_id: r.text for r in spark.table("frames_folded").collect()} == {1: "Hello!", 2: "ét"}
