@@ -1,6 +1,6 @@
 """Query catalogue, part 3: answer-event frames, producer events, context capture, vector
-normalisation, identifier normalisation, the load report and nested JSON composition on
-the driver tables (SURVEY section 7).  SQL twins in :mod:`cardlake.plans.oracle_events`."""
+normalisation, identifier normalisation, the load report, nested JSON composition and
+JSON document unwrapping on the driver tables (SURVEY section 7).  SQL twins in :mod:`cardlake.plans.oracle_events`."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from cardlake.functions.vectors import dot, l2_normalize
 from cardlake.operators import nest, shred
 from cardlake.plans import catalogue
 from cardlake.session import table
-from cardlake.sources import frames
+from cardlake.sources import frames, jsondocs
 from cardlake.streaming import fold
 
 
@@ -127,6 +127,25 @@ def compose_planning(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("user_id", to_json_text(compose_object(layout)).alias("planning_json"))
 
 
+CLIENT_DOC = ("client struct<c_custkey: bigint, c_name: string, commandes: array<struct<o_orderkey: bigint, "
+              "o_orderstatus: string, o_orderdate: string>>>")
+
+
+def json_unwrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer written as one JSON document ``{"client": {..., "commandes": [...]}}``,
+    decoded with a declared schema (A1), the envelope unwrapped to columns (A3) and the
+    order list unwrapped to one row per element (A4)."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus",
+                                          F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    nested = nest.renest(c, o, "c_custkey", "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderdate"],
+                         "commandes")
+    docs = nested.select(F.to_json(F.struct(F.struct("c_custkey", "c_name", "commandes").alias("client")))
+                         .alias("doc"))
+    client = shred.unwrap(jsondocs.decode_documents(docs, "doc", CLIENT_DOC), "client")
+    return client.select("c_custkey", "c_name", F.inline(F.col("commandes")))
+
+
 QUERIES = {
     "encode_frames": encode_frames,
     "decode_frames": decode_frames,
@@ -136,4 +155,5 @@ QUERIES = {
     "snake_case_keys": snake_case_keys,
     "load_report": load_report,
     "compose_planning": compose_planning,
+    "json_unwrap": json_unwrap,
 }

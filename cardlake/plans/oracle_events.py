@@ -69,4 +69,7 @@ UNION ALL SELECT 'customers__orders', count(*) FROM orders o JOIN customer c ON
 UNION ALL SELECT 'customers__orders__items', count(*)
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey""",
     "compose_planning": _planning(),
+    "json_unwrap": """
+SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_orderstatus, strftime(o.o_orderdate, '%Y-%m-%d') AS o_orderdate
+FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey""",
 }

@@ -80,6 +80,12 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataF
         raise
 
 
+def decode_documents(df: DataFrame, text_col: str, schema: str | StructType) -> DataFrame:
+    """JSON document text already in a column -> one row of the declared schema per
+    document (the in-table counterpart of :func:`read_json`); malformed -> all NULL."""
+    return df.select(F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"}).alias("_doc")).select("_doc.*")
+
+
 def snake_type(t: DataType) -> DataType:
     """The same type with every struct field renamed to snake_case."""
     if isinstance(t, StructType):
