@@ -73,7 +73,11 @@ def test_embed_with_plugin(spark):
     df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "card_id long, page_content string")
 
     def make():
-        return lambda texts: np.array([[len(t or ""), 1.0] for t in texts])
+        def model(texts):
+            assert len(texts) <= 2  # fixed-size model batches (F4)
+            return np.array([[len(t or ""), 1.0] for t in texts])
+        return model
 
     out = {r.card_id: r.vec for r in embed.embed_with(df, make, 2, batch_size=2).collect()}
     assert np.allclose(np.linalg.norm(out[1]), 1.0) and np.allclose(out[2], [0, 1])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "2"
