@@ -120,19 +120,26 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.withColumn("_pos", F.monotonically_increasing_id())
 
 
+def _root(df: DataFrame) -> DataFrame:
+    """A document root with its source order, cut once: every child table of the root is
+    then an explode of the saved rows, not a fresh parse of the JSON file, and ``_pos``
+    is fixed for all of them."""
+    return with_position(df).checkpoint()
+
+
 def shred_sources(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     """The six documents as the 16 relational tables."""
     d = raw_dir.rstrip("/")
     read = lambda name: read_json(spark, f"{d}/{name}", SCHEMAS[name])
     out: dict[str, DataFrame] = {}
-    fac = with_position(snake_columns(unwrap(read("fsbm.json"), "faculte")))
+    fac = _root(snake_columns(unwrap(read("fsbm.json"), "faculte")))
     out.update(shred(fac, "faculte", ["nom_officiel", "_pos"]))
-    dep = with_position(snake_columns(unwrap_list(read("departements.json"), "departements")))
+    dep = _root(snake_columns(unwrap_list(read("departements.json"), "departements")))
     out.update(shred(dep, "departements", ["nom", "_pos"]))
-    out.update(shred(with_position(snake_columns(read("formations.json"))), "formations", ["type", "_pos"]))
+    out.update(shred(_root(snake_columns(read("formations.json"))), "formations", ["type", "_pos"]))
     out["emplois"] = timetable_wide(with_position(read("emplois_final.json")))
-    out.update(shred(with_position(snake_columns(read("laboratoires.json"))), "laboratoires", ["title", "_pos"]))
-    out.update(shred(with_position(snake_columns(read("professeurs.json"))), "professeurs", ["name", "_pos"]))
+    out.update(shred(_root(snake_columns(read("laboratoires.json"))), "laboratoires", ["title", "_pos"]))
+    out.update(shred(_root(snake_columns(read("professeurs.json"))), "professeurs", ["name", "_pos"]))
     return out
 
 
