@@ -98,6 +98,8 @@ def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cards_optional_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer card text per customer: optional lines only when the value is present
+    and not blank, singular/plural order labels (B6, B7, H13)."""
     return customer_cards(spark, sf).select(F.regexp_extract("card_id", r"(\d+)$", 1).cast("bigint").alias("c_custkey"),
                                             "page_content")
 

@@ -1,4 +1,7 @@
-"""Whole JSON -> tables -> staging -> cards path on the hand-made documents."""
+"""Whole JSON -> tables -> staging -> cards path on the hand-made documents.
+
+Operators: A1-A17, A20, B1-B7, B9, C1-C7, E1-E4, E6, H1-H5, H12-H19, I1-I7, K1-K3.
+"""
 
 import os
 

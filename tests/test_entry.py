@@ -1,4 +1,5 @@
-"""Driver contract: entry runs; every registered query matches its SQL twin on sf0.001."""
+"""Driver contract: entry runs; every registered query matches its SQL twin on sf0.001
+(the operators each query tags, see COVERAGE.md)."""
 
 import json
 import math

@@ -1,4 +1,7 @@
-"""Answer-event folding in batch and in a stream; frame encoding and parsing."""
+"""Answer-event folding in batch and in a stream; frame encoding and parsing.
+
+Operators: A24, A25, E12, H25, L1-L4.
+"""
 
 import json
 import os

@@ -1,4 +1,7 @@
-"""Column helpers against hand-written expectations and a plain-Python restatement."""
+"""Column helpers against hand-written expectations and a plain-Python restatement.
+
+Operators: A9, B11, E9, F2, H1-H3, H5-H8, H10, J7.
+"""
 
 import re
 import unicodedata

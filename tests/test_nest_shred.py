@@ -1,4 +1,7 @@
-"""Re-nesting keeps NULLs and order; shredding then re-nesting gives the input back."""
+"""Re-nesting keeps NULLs and order; shredding then re-nesting gives the input back.
+
+Operators: A5-A9, A15-A17, C1, C2, E1-E3, K1-K4.
+"""
 
 from pyspark.sql import functions as F
 
@@ -60,3 +63,12 @@ def test_quality_suite(spark):
     got = {(r.column_name, r.test): (r.failures, r.status) for r in res.collect()}
     assert got == {("k", "not_null"): (1, "fail"), ("k", "unique"): (1, "fail"),
                    ("v", "not_null"): (1, "fail"), ("v", "unique"): (1, "fail")}
+
+
+def test_schema_check(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    res = {(r.table_name, r.column_name): (r.failures, r.status)
+           for r in quality.schema_check(spark, "t", df, ["id", "name", "missing"]).collect()}
+    assert res == {("t", "id"): (0, "pass"), ("t", "name"): (0, "pass"), ("t", "missing"): (1, "fail")}
+    absent = quality.schema_check(spark, "gone", None, ["id"]).collect()
+    assert [(r.failures, r.status) for r in absent] == [(1, "fail")]

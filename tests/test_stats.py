@@ -1,5 +1,8 @@
 """Exact bounded-memory quantiles against numpy on skewed groups, ties and tiny
-buckets that force several narrowing passes."""
+buckets that force several narrowing passes.
+
+Operators: E11.
+"""
 
 import numpy as np
 import pytest

@@ -1,5 +1,8 @@
 """Text retrieval on the small driver tables against a brute-force restatement; question
-set loading, evaluation and the pluggable encoder."""
+set loading, evaluation and the pluggable encoder.
+
+Operators: A19, A21-A23, B10, E11, F4, H22, H23, J1, J2, J4, J8, J9.
+"""
 
 import os
 
@@ -81,3 +84,21 @@ def test_embed_with_plugin(spark):
     out = {r.card_id: r.vec for r in embed.embed_with(df, make, 2, batch_size=2).collect()}
     assert np.allclose(np.linalg.norm(out[1]), 1.0) and np.allclose(out[2], [0, 1])
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "2"
+
+
+def test_index_write_and_typed_read(spark, scratch):
+    """Vector index partitioned by card type (A23); reading one type prunes to its
+    partition (A21, B10)."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        F.col("doc_id").alias("card_id"), F.col("lang").alias("type"), F.col("text").alias("page_content"))
+    vec = embed.hashing_encoder(docs, "page_content", "vec", 32)
+    path = os.path.join(scratch, "index")
+    embed.write_index(vec, path)
+    embed.write_index(vec, path)  # a rebuild replaces, never appends
+    back = spark.read.parquet(path)
+    assert back.count() == docs.count()
+    lang = docs.first().type
+    typed = back.where(F.col("type") == lang)
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(type" in plan and lang in plan
+    assert typed.count() == docs.where(F.col("type") == lang).count()
