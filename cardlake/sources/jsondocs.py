@@ -25,7 +25,7 @@ COURSE = "struct<type string, module string, groupe string, salle string>"
 
 # Raw document schemas (keys as spelled in the source files).
 SCHEMAS: dict[str, str] = {
-    "fsbm.json": (
+    "faculte.json": (
         "faculte struct<nom_officiel string, acronyme string, universite_de_rattachement string, "
         "annee_de_creation string, doyen string, vice_doyen string, description string, "
         "contact struct<adresse string, fax string, site_web string, telephone array<string>, "
@@ -127,12 +127,14 @@ def _root(df: DataFrame) -> DataFrame:
     return with_position(df).checkpoint()
 
 
-def shred_sources(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
-    """The six documents as the 16 relational tables."""
+def shred_sources(spark: SparkSession, raw_dir: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """The six documents as the 16 relational tables (A3-A9, A11, A14-A17).  ``files``
+    maps a document's default name (the keys of ``SCHEMAS``) to its actual file name."""
     d = raw_dir.rstrip("/")
-    read = lambda name: read_json(spark, f"{d}/{name}", SCHEMAS[name])
+    names = dict(files or {})
+    read = lambda name: read_json(spark, f"{d}/{names.get(name, name)}", SCHEMAS[name])
     out: dict[str, DataFrame] = {}
-    fac = _root(snake_columns(unwrap(read("fsbm.json"), "faculte")))
+    fac = _root(snake_columns(unwrap(read("faculte.json"), "faculte")))
     out.update(shred(fac, "faculte", ["nom_officiel", "_pos"]))
     dep = _root(snake_columns(unwrap_list(read("departements.json"), "departements")))
     out.update(shred(dep, "departements", ["nom", "_pos"]))
