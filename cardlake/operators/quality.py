@@ -1,7 +1,8 @@
 """Data-quality suites (K1-K4): not-null, unique and source-declaration checks.
 
 All not-null checks of one table run in a single scan (one ``count_if`` per column,
-partial aggregation, one row out).  A unique check is ``groupBy(col).count()`` with a
+partial aggregation, one row out), fused into the table's first unique check when it has
+one.  A unique check is ``groupBy(col).count()`` with a
 map-side partial count, so a hot value costs one row per task before the shuffle; the
 result is the number of values seen more than once (NULLs ignored), like a
 ``unique`` column test that returns offending values.
@@ -66,17 +67,44 @@ def schema_check(spark: SparkSession, name: str, df: DataFrame | None, expected:
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def fused_checks(name: str, df: DataFrame, key: str, not_null: Sequence[str]) -> DataFrame:
+    """``unique(key)`` and ``not_null`` of every listed column in one scan: the
+    ``groupBy(key)`` that finds repeated keys also sums each column's NULLs per key
+    (partial aggregation before the shuffle), and its NULL-key group is the key's own
+    NULL count."""
+    others = [c for c in not_null if c != key]
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"),
+                                  *[F.count_if(F.col(c).isNull()).alias(f"_nn{i}") for i, c in enumerate(others)])
+    is_null_key = F.col(key).isNull()
+    tot = per_key.agg(
+        F.count_if(~is_null_key & (F.col("_c") > 1)).cast("bigint").alias("_dup"),
+        F.coalesce(F.sum(F.when(is_null_key, F.col("_c"))), F.lit(0)).cast("bigint").alias("_nkey"),
+        *[F.coalesce(F.sum(f"_nn{i}"), F.lit(0)).cast("bigint").alias(f"_nn{i}") for i in range(len(others))])
+    rows = [F.struct(F.lit(key).alias("column_name"), F.lit("unique").alias("test"), F.col("_dup").alias("failures"))]
+    if key in not_null:
+        rows.append(F.struct(F.lit(key).alias("column_name"), F.lit("not_null").alias("test"),
+                             F.col("_nkey").alias("failures")))
+    rows += [F.struct(F.lit(c).alias("column_name"), F.lit("not_null").alias("test"), F.col(f"_nn{i}").alias("failures"))
+             for i, c in enumerate(others)]
+    out = tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.select(F.lit(name).alias("table_name"), "column_name", "test", "failures",
+                      _status(F.col("failures")).alias("status"))
+
+
 def run_suite(tables: Mapping[str, DataFrame], specs: Sequence[Spec]) -> DataFrame:
-    """Run every spec; one result row per (table, column, test)."""
+    """Run every spec; one result row per (table, column, test).  A table is scanned
+    once when it has a unique test (fused with all its not-null tests), plus once per
+    further unique column."""
     parts: list[DataFrame] = []
     for name in dict.fromkeys(s.table for s in specs):
         df = tables[name]
         nn = [s.column for s in specs if s.table == name and "not_null" in s.tests]
-        if nn:
+        uniq = list(dict.fromkeys(s.column for s in specs if s.table == name and "unique" in s.tests))
+        if uniq:
+            parts.append(fused_checks(name, df, uniq[0], nn))
+            parts += [unique_check(name, df, c) for c in uniq[1:]]
+        elif nn:
             parts.append(not_null_checks(name, df, nn))
-        for s in specs:
-            if s.table == name and "unique" in s.tests:
-                parts.append(unique_check(name, df, s.column))
     return reduce(DataFrame.unionByName, parts)
 
 
