@@ -28,7 +28,7 @@ def _col(c: Column | str) -> Column:
 def normalize_name(c: Column | str) -> Column:
     """Match key for a person name: lower case, titles dropped, punctuation as blanks,
     remaining words sorted by code point and joined by one blank. NULL/'' -> ''."""
-    words = F.split(F.regexp_replace(F.lower(_col(c)), NON_WORD, " "), " ")
+    words = F.split(F.lower(_col(c)), NON_WORD + "+")  # one pass: runs of separators split
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*TITLE_WORDS))
     return F.coalesce(F.array_join(F.sort_array(kept), " "), F.lit(""))
 
