@@ -309,7 +309,7 @@ def _text_retrieval(spark: SparkSession, sf: str, dim: int = 256) -> tuple[DataF
     turns = _user_turns(spark, sf).select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
                                           F.col("text").alias("question"))
     q = retrieve.classify(turns, LANG_BANK, text_col="question")
-    qv = embed.hashing_encoder(q, "question", "qvec", dim)
+    qv = embed.hashing_encoder(q, "question", "qvec", dim).select("qid", "intent", "qvec").checkpoint()
     typed = retrieve.knn(qv.where(F.col("intent").isNotNull()).select("qid", F.col("intent").alias("qtype"), "qvec"),
                          cards_v, 4, typed=True)
     general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"), cards_v, 3,
