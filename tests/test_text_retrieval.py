@@ -102,3 +102,17 @@ def test_index_write_and_typed_read(spark, scratch):
     plan = typed._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(type" in plan and lang in plan
     assert typed.count() == docs.where(F.col("type") == lang).count()
+
+
+def test_retrieval_independent_of_partitioning(spark):
+    """Same retrieved cards and positions whatever the shuffle partition count."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    out = []
+    try:
+        for n in ("3", "17"):
+            spark.conf.set(key, n)
+            out.append(sorted(tuple(r) for r in C.hybrid_documents(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert out[0] == out[1] and out[0]
