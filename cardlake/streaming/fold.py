@@ -76,6 +76,55 @@ def fold_stream(spark: SparkSession, path: str, fmt: str = "json", key: str = "m
     return fold_events(src, key)
 
 
+EVENTS_JSON = "array<struct<seq: bigint, type: string, text: string>>"
+
+
+def _keep_events(timeout_ms: int):
+    """State function: a message's distinct events as JSON text, extended with each
+    micro-batch's events and re-armed with an idle timeout; a timed-out message is
+    forgotten (its last emitted text stands)."""
+    import json
+
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        events = json.loads(state.get[0]) if state.exists else []
+        seen = {tuple(e) for e in events}
+        for pdf in pdfs:
+            part = pdf[["seq", "type", "text"]].astype(object)
+            for rec in part.where(part.notna(), None).itertuples(index=False, name=None):
+                rec = (None if rec[0] is None else int(rec[0]), rec[1], rec[2])
+                if rec not in seen:
+                    seen.add(rec)
+                    events.append(list(rec))
+        text = json.dumps([{"seq": e[0], "type": e[1], "text": e[2]} for e in events], ensure_ascii=False)
+        state.update((json.dumps(events, ensure_ascii=False),))
+        state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame({"msg_id": [key[0]], "events_json": [text]})
+
+    return fn
+
+
+def fold_stream_expiring(stream: DataFrame, idle_timeout_ms: int = 30 * 60 * 1000, key: str = "msg_id") -> DataFrame:
+    """Streaming fold whose state is dropped after ``idle_timeout_ms`` without events
+    for a message (processing-time timeout), so a long-running stream keeps state only
+    for live messages.  Output mode ``update``: each micro-batch emits the current text
+    of every message that received events.  The fold itself is :func:`fold_expr`, the
+    same expression as the batch fold; an event arriving after its message expired
+    starts the message afresh.  Run it with a processing-time trigger: timeouts are
+    checked by (empty) micro-batches, which an as-fast-as-possible trigger would run
+    back to back."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kept = stream.withColumnRenamed(key, "msg_id").groupBy("msg_id").applyInPandasWithState(
+        _keep_events(idle_timeout_ms), "msg_id long, events_json string", "events string", "Update",
+        GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.select(F.col("msg_id").alias(key), fold_expr(F.from_json("events_json", EVENTS_JSON)).alias("text"))
+
+
 def start_fold(stream: DataFrame, sink: str, checkpoint: str, query_name: str | None = None,
                mode: str = "update") -> DataStreamWriter:
     """Writer for the folded stream; the checkpoint folder must be on shared storage."""

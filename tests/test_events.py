@@ -86,3 +86,67 @@ def test_frames_stream_fold(spark, scratch):
     finally:
         q.stop()
     assert {r.msg_id: r.text for r in spark.table("frames_folded").collect()} == {1: "Hello!", 2: "ét"}
+
+
+def test_fold_stream_expiring_matches_batch(spark, scratch):
+    """Stateful fold with an idle timeout gives the batch fold's texts (L1)."""
+    src = os.path.join(scratch, "in-expiring")
+    os.makedirs(src)
+    rows = [{"msg_id": m, "seq": s, "type": t, "text": x} for m, s, t, x in EVENTS]
+    half = len(rows) // 2
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows[:half]))
+    latest = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            latest[r.msg_id] = r.text
+
+    import time
+
+    stream = fold.fold_stream_expiring(spark.readStream.schema(fold.EVENT_SCHEMA).json(src), idle_timeout_ms=60_000)
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).trigger(processingTime="1 second").option(
+        "checkpointLocation", os.path.join(scratch, "ckpt-expiring")).start()
+
+    def wait_for(pred, limit=90):
+        end = time.time() + limit
+        while not pred() and time.time() < end and q.exception() is None:
+            time.sleep(0.5)
+
+    try:
+        wait_for(lambda: len(latest) >= 3)
+        with open(os.path.join(src, "b.json"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows[half:] + rows[:2]))  # late half plus repeats
+        wait_for(lambda: latest == WANT)
+    finally:
+        q.stop()
+    assert q.exception() is None
+    assert latest == WANT
+
+
+def test_fold_stream_state_expires(spark, scratch):
+    """After the idle timeout a message's state is gone: a late event starts it afresh."""
+    import time
+
+    src = os.path.join(scratch, "in-expire")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps({"msg_id": 4, "seq": i, "type": "delta", "text": c}) for i, c in enumerate("ab")))
+    seen = []
+    stream = fold.fold_stream_expiring(spark.readStream.schema(fold.EVENT_SCHEMA).json(src), idle_timeout_ms=2000)
+    q = stream.writeStream.outputMode("update").trigger(processingTime="1 second").foreachBatch(
+        lambda b, _: seen.extend((r.msg_id, r.text) for r in b.collect())).option(
+        "checkpointLocation", os.path.join(scratch, "ckpt-expire")).start()
+    try:
+        end = time.time() + 60
+        while (4, "ab") not in seen and time.time() < end:
+            time.sleep(0.5)
+        time.sleep(5)  # idle past the timeout; empty batches drop the state
+        with open(os.path.join(src, "b.json"), "w") as f:
+            f.write(json.dumps({"msg_id": 4, "seq": 2, "type": "delta", "text": "c"}))
+        end = time.time() + 60
+        while len(seen) < 2 and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert seen == [(4, "ab"), (4, "c")]
