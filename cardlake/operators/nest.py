@@ -23,24 +23,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_list(order_by: Sequence[str | Column], fields: Sequence[str | Column], scalar: bool = False) -> Column:
+def ordered_list(order_by: Sequence[str | Column], fields: Sequence[str | Column], scalar: bool = False,
+                 keep: Column | None = None) -> Column:
     """Aggregate: the group's rows as an ordered list.
 
     Each element is packed as ``struct(order keys..., value)`` before ``collect_list``,
     which keeps NULL values (a bare ``collect_list`` drops them) and lets
     ``sort_array`` (native, no lambda comparator) order by the keys; the keys are projected away afterwards.
     ``scalar=True`` with one field gives ``array<field type>`` instead of
-    ``array<struct>``.
+    ``array<struct>``.  Rows failing ``keep`` are left out inside the (partial)
+    aggregate, before the shuffle; a group with none kept gives ``[]``.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in fields]
     keys_named, fields_named = _names(order_by), _names(fields)
     if not scalar and keys_named and fields_named and keys_named == fields_named[: len(keys_named)]:
         # the order keys are the leading fields: sort the value structs themselves and
         # ship each field once
-        return F.sort_array(F.collect_list(F.struct(*cols)))
+        packed = F.struct(*cols)
+        return F.sort_array(F.collect_list(packed if keep is None else F.when(keep, packed)))
     keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order_by)]
     value = cols[0] if scalar else F.struct(*cols)
     packed = F.struct(*keys, value.alias("_v"))
+    packed = packed if keep is None else F.when(keep, packed)  # collect_list skips the NULLs
     return F.transform(F.sort_array(F.collect_list(packed)), lambda e: e["_v"])
 
 

@@ -141,7 +141,7 @@ def timetable_lines(spark: SparkSession, sf: str) -> DataFrame:
                                  F.lit(" : "), details))
     rows = ev.select("user_id", day_ord.alias("d"), slot.alias("s"), "ts", "event_id", text.alias("line"))
     per = rows.groupBy("user_id").agg(
-        F.filter(nest.ordered_list(["d", "s", "ts", "event_id"], ["line"], scalar=True), lambda x: x.isNotNull())
+        nest.ordered_list(["d", "s", "ts", "event_id"], ["line"], scalar=True, keep=F.col("line").isNotNull())
         .alias("lines"))
     planning = F.when(F.size("lines") > 0, F.concat(F.array_join("lines", "\n"), F.lit("\n"))).otherwise(
         F.lit(NO_COURSE))

@@ -51,9 +51,9 @@ def answer_events(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     chunks = c.where(F.col("role") == "assistant").select(F.col("conv_id").alias("msg_id"), F.col("turn").alias("seq"),
                                                           "text")
-    answer = F.when(F.col("role") == "assistant", F.col("text"))
+    assistant = F.col("role") == "assistant"
     finals = c.groupBy(F.col("conv_id").alias("msg_id")).agg(
-        F.array_join(nest.ordered_list(["turn"], [answer], scalar=True), "").alias("final_text"),
+        F.array_join(nest.ordered_list(["turn"], ["text"], scalar=True, keep=assistant), "").alias("final_text"),
         F.when(F.count_if(F.col("role") == "assistant") == 0, F.lit(NO_ANSWER)).alias("error"))
     return fold.answer_events(chunks, finals)
 

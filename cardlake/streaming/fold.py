@@ -20,6 +20,9 @@ ERROR_PREFIX = "Désolé, une erreur est survenue : "
 
 EVENT_SCHEMA = "msg_id long, seq long, type string, text string"
 
+# Fixed value: the event types that change a message's text; any other type is ignored.
+FOLDED_TYPES = ("delta", "done", "error")
+
 
 def fold_expr(events: Column) -> Column:
     """Fold an ``array<struct<seq, type, text>>`` (any order) into the final text;
@@ -39,8 +42,10 @@ def fold_expr(events: Column) -> Column:
 
 
 def fold_events(events: DataFrame, key: str = "msg_id") -> DataFrame:
-    """``(key, seq, type, text)`` -> ``(key, text)`` (L1)."""
-    packed = F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "type", "text"))
+    """``(key, seq, type, text)`` -> ``(key, text)`` (L1).  Event types the fold ignores
+    are left out inside the partial aggregate (``collect_list`` skips the NULLs)."""
+    event = F.struct(F.col("seq").cast("long").alias("seq"), "type", "text")
+    packed = F.collect_list(F.when(F.col("type").isin(*FOLDED_TYPES), event))
     return events.groupBy(key).agg(fold_expr(packed).alias("text"))
 
 
