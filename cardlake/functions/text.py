@@ -65,7 +65,9 @@ def labelled_emails(c: Column | str, label_part: str = "mail") -> Column:
 
 
 def word_tokens(c: Column | str, min_len: int = 0) -> Column:
-    """Split on runs of non-word characters (Unicode aware); drop tokens of length
+    """Split on runs of non-word characters as Python counts them; drop tokens of length
     ``<= min_len`` (empty ones always)."""
-    parts = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"(?U)\W+")
+    # Python's \W: anything but a letter, a number or the underscore (Java's (?U)\W differs
+    # on combining marks and on numbers such as '½')
+    parts = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^\p{L}\p{N}_]+")
     return F.filter(parts, lambda t: F.length(t) > max(min_len, 0))
