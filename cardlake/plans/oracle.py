@@ -76,8 +76,8 @@ def _wide_sql() -> str:
     for day, dc in DAY_CODES.items():
         for et, tc in TYPE_CODES.items():
             cols.append(
-                f"to_json(list(event_id ORDER BY event_id) FILTER (WHERE strftime(ts, '%a') = '{day}' "
-                f"AND event_type = '{et}')) AS plan__{dc}__{tc}"
+                f"CAST(to_json(list(event_id ORDER BY event_id) FILTER (WHERE strftime(ts, '%a') = '{day}' "
+                f"AND event_type = '{et}')) AS VARCHAR) AS plan__{dc}__{tc}"
             )
     return "SELECT user_id, " + ",\n  ".join(cols) + "\nFROM events GROUP BY user_id"
 
@@ -97,13 +97,13 @@ ords AS (
          list({{'o_orderkey': o.o_orderkey, 'o_orderstatus': o.o_orderstatus, 'o_orderpriority': o.o_orderpriority,
                 'o_orderdate': strftime(o.o_orderdate, '%Y-%m-%d'), 'items': i.items}} ORDER BY o.o_orderkey) AS orders
   FROM orders o LEFT JOIN items i ON o.o_orderkey = i.l_orderkey GROUP BY o.o_custkey)
-SELECT c.c_custkey, c.c_name, CAST(len(d.orders) AS BIGINT) AS n_orders, to_json(d.orders) AS orders_json
+SELECT c.c_custkey, c.c_name, CAST(len(d.orders) AS BIGINT) AS n_orders, CAST(to_json(d.orders) AS VARCHAR) AS orders_json
 FROM customer c LEFT JOIN ords d ON c.c_custkey = d.o_custkey""",
     "hierarchy_inner": """
 SELECT r.r_name, n.n_name, c.c_custkey, c.c_name
 FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN customer c ON n.n_nationkey = c.c_nationkey""",
     "childless_parent_null": """
-SELECT o.o_orderkey, o.o_custkey, CAST(len(i.lines) AS BIGINT) AS n_items, to_json(i.lines) AS linenumbers_json
+SELECT o.o_orderkey, o.o_custkey, CAST(len(i.lines) AS BIGINT) AS n_items, CAST(to_json(i.lines) AS VARCHAR) AS linenumbers_json
 FROM orders o LEFT JOIN (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS lines
                          FROM lineitem GROUP BY l_orderkey) i ON o.o_orderkey = i.l_orderkey""",
     "shred_children": """
@@ -149,7 +149,7 @@ WITH p AS (
                     ELSE '[' || p_brand || ', ' || p_type || ', , ' || p_name || ']' END AS raw
   FROM part)
 SELECT p_partkey, raw, CAST(len({parse_list_sql('raw')}) AS BIGINT) AS n_items,
-       to_json({parse_list_sql('raw')}) AS items_json FROM p""",
+       CAST(to_json({parse_list_sql('raw')}) AS VARCHAR) AS items_json FROM p""",
     "lookup_first_wins": """
 SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
@@ -175,7 +175,7 @@ SELECT l_orderkey,
                   ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines
 FROM lineitem GROUP BY l_orderkey""",
     "extract_emails": f"""
-SELECT doc_id, CAST(len(e) AS BIGINT) AS n_emails, to_json(e) AS emails_json FROM (
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_emails, CAST(to_json(e) AS VARCHAR) AS emails_json FROM (
   SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), {EMAIL_SQL}))) AS e FROM documents)""",
     "reject_blank": f"""
 SELECT conv_id, turn,

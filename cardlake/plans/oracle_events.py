@@ -22,7 +22,7 @@ def _planning() -> str:
     for dc, day in PLAN_DAYS.items():
         cells = ", ".join(f"{_q(name)}: CAST(plan__{dc}__{tc} AS JSON)" for tc, name in PLAN_TYPES.items())
         days.append(f"{_q(day)}: {{{cells}}}")
-    return f"WITH w AS ({_wide_sql()})\nSELECT user_id, to_json({{{', '.join(days)}}}) AS planning_json FROM w"
+    return f"WITH w AS ({_wide_sql()})\nSELECT user_id, CAST(to_json({{{', '.join(days)}}}) AS VARCHAR) AS planning_json FROM w"
 
 
 SQL: dict[str, str] = {
