@@ -258,8 +258,8 @@ def entity_join(spark: SparkSession, sf: str) -> DataFrame:
     probe = o.select("o_orderkey", format_title("coord").alias("coordinator"), normalize_name("coord").alias("name_key"))
     c = table(spark, sf, "customer").select(normalize_name("c_name").alias("name_key"), "c_custkey", "c_mktsegment")
     people = lookup.pick_one(c, "name_key", ["c_custkey"], ["c_custkey", "c_mktsegment"], last=True)
-    return probe.join(people, "name_key", "left").select("o_orderkey", "coordinator", "name_key", "c_custkey",
-                                                        "c_mktsegment")
+    return lookup.join_lookup(probe, "name_key", people.withColumnRenamed("name_key", "_key"), "_key").select(
+        "o_orderkey", "coordinator", "name_key", "c_custkey", "c_mktsegment")
 
 
 def rollup_text(spark: SparkSession, sf: str) -> DataFrame:
