@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: e-mail pattern used to find and check addresses (trailing dots included).
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
+# The same addresses without a trailing dot, so an address that ends a sentence keeps
+# its full stop outside the match (opt-in; the default above is the source's pattern).
+EMAIL_NO_TRAILING_DOT = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.(?:[a-zA-Z0-9.-]*[a-zA-Z0-9-])"
 
 # Line boundaries of Python's str.splitlines, as a Java pattern.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
@@ -23,18 +26,18 @@ def py_strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
 
 
-def find_emails(c: Column | str) -> Column:
+def find_emails(c: Column | str, pattern: str = EMAIL) -> Column:
     """Every e-mail match of a text in order (repeats kept). Texts without an ``@``
     cannot match and skip the regex scan. NULL text -> empty array."""
     t = F.coalesce(_col(c), F.lit(""))
-    return F.when(F.instr(t, "@") > 0, F.regexp_extract_all(t, F.lit(EMAIL), 0)).otherwise(
+    return F.when(F.instr(t, "@") > 0, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(
         F.array().cast("array<string>"))
 
 
-def extract_emails(c: Column | str) -> Column:
+def extract_emails(c: Column | str, pattern: str = EMAIL) -> Column:
     """Distinct e-mails of a text, sorted so that any later choice among them is
     deterministic. NULL text -> empty array."""
-    return F.sort_array(F.array_distinct(find_emails(c)))
+    return F.sort_array(F.array_distinct(find_emails(c, pattern)))
 
 
 def parse_fields(c: Column | str) -> Column:
@@ -54,11 +57,11 @@ def parse_fields(c: Column | str) -> Column:
     return F.filter(kept, lambda p, i: F.array_position(labels, p["label"]) == i + 1)
 
 
-def labelled_emails(c: Column | str, label_part: str = "mail") -> Column:
+def labelled_emails(c: Column | str, label_part: str = "mail", pattern: str = EMAIL) -> Column:
     """E-mails found in the fields whose label contains ``label_part``, in field order,
     distinct per field (one card's contact e-mails)."""
     fields = F.filter(parse_fields(c), lambda p: F.instr(p["label"], label_part) > 0)
-    per_field = F.transform(fields, lambda p: extract_emails(p["value"]))
+    per_field = F.transform(fields, lambda p: extract_emails(p["value"], pattern))
     # a card without '@' has no e-mail in any field: skip parsing its lines
     return F.when(F.instr(F.coalesce(_col(c), F.lit("")), "@") > 0, F.flatten(per_field)).otherwise(
         F.array().cast("array<string>"))
