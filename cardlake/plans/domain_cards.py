@@ -194,14 +194,19 @@ def lab_cards(labs: DataFrame) -> DataFrame:
     return cards.corpus(labs, "laboratoires", "laboratoire", F.sha2(content, 256), "acronyme", content)
 
 
-def department_cards(depts: DataFrame, programmes: DataFrame) -> DataFrame:
-    """Departments with their programme lines; department names match exactly."""
+def department_cards(depts: DataFrame, programmes: DataFrame, match: str = "exact") -> DataFrame:
+    """Departments with their programme lines (C7, E4).  Department names match exactly,
+    as in the source; ``match="normalized"`` compares them by the name key used for
+    people instead (case, punctuation and word order ignored)."""
+    if match not in ("exact", "normalized"):
+        raise ValueError(match)
+    norm = normalize_name if match == "normalized" else (lambda c: c)
     coord = F.when(cards.truthy("coordonnateur"),
                    F.concat(F.lit(f" ({L['d_coord']} : "), format_title("coordonnateur"), F.lit(")"))).otherwise("")
     line = F.concat(F.lit("- "), cards.as_text("cycle"), F.lit(" "), cards.as_text("nom_filiere"), coord)
-    per = programmes.groupBy(F.col("nom_departement").alias("_dn")).agg(
+    per = programmes.groupBy(norm(F.col("nom_departement")).alias("_dn")).agg(
         F.array_join(ordered_list(_prog_order(), [line], scalar=True), "\n").alias("lines"))
-    j = depts.join(per, depts.nom_departement == per._dn, "left")
+    j = depts.join(per, norm(depts["nom_departement"]) == per["_dn"], "left")
     content = cards.card_text(H_DEPARTMENT, [
         _alw("d_name", "nom_departement"), _alw("d_head", format_title("chef")), _alw("d_desc", "description_dept"),
         F.when(F.col("lines").isNotNull(), F.concat(F.lit(L["d_list"] + "\n"), F.col("lines"))),

@@ -107,3 +107,17 @@ def test_institution_card(built):
     c = cards[("etablissement", "Faculté des Sciences Exemple")]
     assert "Professeur Vice-doyen" not in c  # empty value
     assert "Professeur Doyen actuel : Pr. Amina Kadiri\n" in c
+
+
+def test_department_match_modes(built):
+    """Exact department names by default (as the source); normalized on request."""
+    from pyspark.sql import functions as F
+
+    _, stg, _, _ = built
+    progs = stg["stg_formations"].withColumn("nom_departement", F.upper("nom_departement"))
+    exact = {r.identifier: r.page_content for r in domain_cards.department_cards(stg["stg_departements"], progs)
+             .collect()}
+    norm = {r.identifier: r.page_content for r in domain_cards.department_cards(stg["stg_departements"], progs,
+                                                                                match="normalized").collect()}
+    assert "Licence Génie Logiciel" not in exact["Informatique"]
+    assert "- Licence Génie Logiciel (Coordonnateur : Pr. BENTAIB MOHSSINE)\n- Licence Réseaux" in norm["Informatique"]
