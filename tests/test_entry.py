@@ -50,3 +50,13 @@ def test_query_matches_sql(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _fp(df.columns, rows) == _fp(ocols, cur.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_plan_has_no_pair_join(spark, name):
+    """No registered query pairs every row with every row: no cartesian product or
+    nested-loop join anywhere in the final plan."""
+    df = E.queries()[name](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
