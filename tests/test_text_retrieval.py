@@ -116,3 +116,18 @@ def test_retrieval_independent_of_partitioning(spark):
     finally:
         spark.conf.set(key, before)
     assert out[0] == out[1] and out[0]
+
+
+def test_idf_encoder(spark):
+    """IDF fitted on the corpus: a word in every document weighs nothing; vectors are
+    unit length otherwise; cards and questions share the fitted weights (J1)."""
+    corpus = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma"), (3, "alpha delta")],
+                                   "card_id long, page_content string")
+    encode = embed.fit_hashing_encoder(corpus, dim=64)
+    vec = {r.card_id: np.array(r.vec, dtype=np.float64) for r in encode(corpus).collect()}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in vec.values())
+    qs = spark.createDataFrame([(10, "ALPHA"), (11, "beta"), (12, None)], "qid long, question string")
+    qv = {r.qid: np.array(r.qvec, dtype=np.float64) for r in encode(qs, "question", "qvec").collect()}
+    assert not qv[10].any() and not qv[12].any()  # only the everywhere-word / no text: zero vector
+    assert abs(float(qv[11] @ vec[1]) - float(np.max([qv[11] @ v for v in vec.values()]))) < 1e-9
+    assert float(qv[11] @ vec[1]) > 0.5
