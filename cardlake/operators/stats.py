@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardlake.session import cut
+
 STATE_ROW_BYTES = 64  # the fixed-width state columns of one row
 
 
@@ -73,7 +75,8 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
     h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
     targets = F.array_distinct(F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")))
     state = stats.select(*keys, "_n", F.explode(targets).alias("_r"), "_lo", "_hi",
-                         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt")).checkpoint()
+                         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
+    state = cut(state)
     is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > max_exact)
     n_open, open_bytes, n_small, small_bytes = _measure(state, keys, is_open)
     while n_open:
@@ -89,7 +92,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
         chosen = counts.where((F.col("_end") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
         narrowed = chosen.select(*keys, "_n", "_r", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
                                  (F.col("_end") - F.col("_c")).alias("_below"), F.col("_c").alias("_cnt"))
-        state = state.where(~is_open).unionByName(narrowed).checkpoint()
+        state = cut(state.where(~is_open).unionByName(narrowed))
         n_open, open_bytes, n_small, small_bytes = _measure(state, keys, is_open)
     # every target is now a single value (lo == hi) or a range of at most max_exact rows
     done = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_n", "_r", F.col("_lo").alias("_x"))

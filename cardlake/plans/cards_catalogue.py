@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cardlake.functions.names import format_title
 from cardlake.functions.text import extract_emails, parse_fields, py_strip
 from cardlake.operators import cards, embed, ground, nest, retrieve
-from cardlake.session import table
+from cardlake.session import cut, table
 from cardlake.streaming import fold
 
 
@@ -305,11 +305,11 @@ def _text_retrieval(spark: SparkSession, sf: str, dim: int = 256) -> tuple[DataF
     index build) and serves both searches."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("type"),
                                                 F.col("text").alias("page_content"))
-    cards_v = embed.hashing_encoder(docs, "page_content", "vec", dim).select("card_id", "type", "vec").checkpoint()
+    cards_v = cut(embed.hashing_encoder(docs, "page_content", "vec", dim).select("card_id", "type", "vec"))
     turns = _user_turns(spark, sf).select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
                                           F.col("text").alias("question"))
     q = retrieve.classify(turns, LANG_BANK, text_col="question")
-    qv = embed.hashing_encoder(q, "question", "qvec", dim).select("qid", "intent", "qvec").checkpoint()
+    qv = cut(embed.hashing_encoder(q, "question", "qvec", dim).select("qid", "intent", "qvec"))
     typed = retrieve.knn(qv.where(F.col("intent").isNotNull()).select("qid", F.col("intent").alias("qtype"), "qvec"),
                          cards_v, 4, typed=True)
     general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"), cards_v, 3,

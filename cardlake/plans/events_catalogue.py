@@ -13,7 +13,7 @@ from cardlake.functions.jsonx import compose_object, parse_strict, to_json_text
 from cardlake.functions.vectors import dot, l2_normalize
 from cardlake.operators import nest, shred
 from cardlake.plans import catalogue
-from cardlake.session import table
+from cardlake.session import cut, table
 from cardlake.sources import frames, jsondocs
 from cardlake.streaming import fold
 
@@ -108,7 +108,7 @@ def load_report(spark: SparkSession, sf: str) -> DataFrame:
     fields = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "items"]
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     # the nested root is materialised once; every child table is then a narrow explode of it
-    nested = nest.renest(c, ords, "c_custkey", "o_custkey", ["o_orderkey"], fields, "orders").checkpoint()
+    nested = cut(nest.renest(c, ords, "c_custkey", "o_custkey", ["o_orderkey"], fields, "orders"))
     tables = shred.shred(nested, "customers", ["c_custkey"])
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
               for name, df in tables.items()]

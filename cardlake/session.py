@@ -53,6 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint into the shared checkpoint folder, making
+    sure the session's context knows that folder first (a session built elsewhere may
+    not have set it)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
+from cardlake.session import cut
 from cardlake.operators.shred import map_to_wide, shred, snake_case, unwrap, unwrap_list
 
 log = logging.getLogger(__name__)
@@ -124,7 +125,7 @@ def _root(df: DataFrame) -> DataFrame:
     """A document root with its source order, cut once: every child table of the root is
     then an explode of the saved rows, not a fresh parse of the JSON file, and ``_pos``
     is fixed for all of them."""
-    return with_position(df).checkpoint()
+    return cut(with_position(df))
 
 
 def shred_sources(spark: SparkSession, raw_dir: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
