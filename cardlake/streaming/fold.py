@@ -6,7 +6,10 @@ type is ignored; a delta after done appends again.  The fold is one aggregate: t
 message's events are collected, de-duplicated, ordered by ``seq`` and folded with
 ``aggregate`` - JVM only, and the same expression serves a streaming aggregation in
 ``update`` mode, so events arriving out of order across micro-batches fold right.
-State is one small list per message (bounded by the message's events).
+State is one small list per message (bounded by the message's events).  As the events
+carry no event time, a plain streaming aggregate keeps that state for the life of the
+query; :func:`fold_stream_expiring` keeps it in ``applyInPandasWithState`` and drops a
+message after an idle processing-time timeout.
 """
 
 from __future__ import annotations
