@@ -38,3 +38,24 @@ def test_content_ids_hot_text(spark):
     got = {r.card_id: r.content_id for r in retrieve.content_ids(cards).collect()}
     first = pdf.groupby("text")["ord"].min()
     assert got == {o: int(first[t]) for o, t in zip(pdf["ord"], pdf["text"])}
+
+
+def test_knn_hot_type(spark):
+    """A third of all cards share one type: typed top-k through both plans equals brute force."""
+    rng = np.random.default_rng(5)
+    n, dim = 3_000, 16
+    m = rng.normal(size=(n, dim))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    types = np.where(np.arange(n) < n // 3, "hot", rng.choice(["a", "b", "c"], n))
+    rows = [(int(i), str(t), [float(x) for x in v]) for i, (t, v) in enumerate(zip(types, m))]
+    cards = spark.createDataFrame(rows, "card_id long, type string, vec array<float>")
+    qs = spark.createDataFrame(rows[::7], "qid long, qtype string, qvec array<float>")
+    mf = np.array([r[2] for r in rows], dtype=np.float32).astype(np.float64)
+    for bcast, block in ((None, 4096), (0, 256)):
+        got = {}
+        for r in retrieve.knn(qs, cards, 3, typed=True, block_rows=block, broadcast_bytes=bcast).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.card_id))
+        for qid, t, _ in rows[::7]:
+            s = mf @ mf[qid]
+            want = sorted((-s[j], j) for j in range(n) if types[j] == t)[:3]
+            assert [c for _, c in sorted(got[qid])] == [j for _, j in want], (bcast, qid)
