@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardlake.llm import simhash
+from cardlake.llm import simhash, tokencount
 from cardlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: vocabulary of the tokenizer queries
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
 QUERIES: dict[str, Query] = {
+    "op5_token_counts": op5_token_counts,
     "op8_simhash": op8_simhash,
 }
 
