@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import bpe, simhash, tokencount
+from cardlake.llm import bpe, linededup, simhash, tokencount, urlfilter
 from cardlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that are on over 2 % of their source's pages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.drop_boilerplate(docs, "source", "text", ratio=0.02, min_pages=3, counts=("n_lines", "n_dropped"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded; digests of the ids and of the decoded texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,15 +38,57 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+#: fixed values: the rules of the url query, as (host, path, verdict)
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
 QUERIES: dict[str, Query] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op8_simhash": op8_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+lines AS (SELECT DISTINCT source, text, trim(line) AS line
+          FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)),
+over AS (SELECT source, line FROM lines JOIN totals USING (source) WHERE line <> ''
+         GROUP BY source, line, total HAVING count(*) >= 3 AND count(*)::DOUBLE / total > 0.02),
+sets AS (SELECT source, list(line) AS gone FROM over GROUP BY source),
+cleaned AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS parts,
+                   list_filter(string_split(d.text, chr(10)), lambda x: NOT coalesce(list_contains(s.gone, trim(x)), false)) AS kept
+            FROM documents d LEFT JOIN sets s ON d.source = s.source)
+SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(parts), 0)::INTEGER AS n_lines,
+       coalesce(len(parts) - len(kept), 0)::INTEGER AS n_dropped FROM cleaned""",
+    "op6_url_filter": f"""
+WITH rules(rhost, rpath, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+urls AS (SELECT DISTINCT host, path FROM parts),
+won AS (SELECT host, path, max(struct_pack(size := length(rhost || rpath), hs := length(rhost), rule := rhost || rpath, verdict := verdict)) AS r
+        FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
+SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN won ON p.host = won.host AND p.path = won.path""",
+}
