@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.llm.joins import measured_broadcast
 from cardlake.session import cut
 
 
@@ -42,13 +43,6 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
     return over.groupBy("host").agg(F.collect_set("l1").alias("h1"), F.collect_set("l2").alias("h2"))
 
 
-def small_enough(sets: DataFrame) -> bool:
-    """Whether the boilerplate sets, measured, stay under the session's broadcast limit."""
-    limit = sets.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = sets.agg(F.sum(64 + F.octet_length("host") + 8 * (F.size("h1") + F.size("h2")))).first()[0] or 0
-    return size <= limit
-
-
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02,
                      min_pages: int = 3, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with its boilerplate lines dropped from ``text_col``; with ``counts``, the
@@ -61,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     Rows without a host are left as they are.  Repeated rows stay, other columns pass
     through whatever their names; an empty table gives no rows."""
     sets = cut(boilerplate(docs, host_col, text_col, ratio, min_pages))
-    sets = F.broadcast(sets) if small_enough(sets) else sets
+    sets = measured_broadcast(sets, 64 + F.octet_length("host") + 8 * (F.size("h1") + F.size("h2")))
     packed = docs.select(F.struct("*").alias("row"), F.col(host_col).alias("host"), _lines(F.col(text_col)).alias("lines"))
     h1, h2 = (lambda x: _hashes(F.trim(x))[0]), (lambda x: _hashes(F.trim(x))[1])
     kept = F.when(F.col("h1").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import bpe, linededup, simhash, tokencount, urlfilter
-from cardlake.session import table
+from cardlake.llm import bpe, linededup, simhash, tokencount, urlfilter, warc
+from cardlake.session import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives in the shared folder and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.payload_table(warc.read_archives(spark, path))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that are on over 2 % of their source's pages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -60,6 +68,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
@@ -68,6 +77,13 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+d AS (SELECT page_id, payload_bytes, sha1(html) AS payload_digest FROM p),
+o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to FROM o""",
     "op3_line_dedup": """
 WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
