@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import bpe, linededup, simhash, tokencount, urlfilter, warc
+from cardlake.llm import bpe, linededup, quality, simhash, tokencount, toxicity, urlfilter, warc
 from cardlake.session import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", mod=3, rest=1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", mod=5, rest=0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_line_dedup": op3_line_dedup,
@@ -74,6 +84,8 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
