@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import bpe, linededup, quality, simhash, tokencount, toxicity, urlfilter, warc
+from cardlake.llm import ann, bpe, linededup, quality, simhash, tokencount, toxicity, urlfilter, warc
 from cardlake.session import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_table(warc.read_archives(spark, path))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all vectors."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that are on over 2 % of their source's pages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -79,6 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_ann": op2_ann,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
