@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import ann, bpe, linededup, quality, simhash, tokencount, toxicity, urlfilter, warc
+from cardlake.llm import ann, bpe, decontam, linededup, quality, simhash, tokencount, toxicity, urlfilter, warc
 from cardlake.session import checkpoint_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items leaked by all documents: 5-word shingles, similarity 0.8."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,

@@ -3,19 +3,50 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardlake.llm import simhash
+from cardlake.llm import bpe, decontam, linededup, quality, simhash
 from cardlake.session import checkpoint_dir, table
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones, does not reject."""
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
+    return quality.add_scores(docs, weights, score_col="quality_score").where("quality_score >= 0.5").drop("quality_score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are on over 2 % of their source's pages."""
+    return linededup.drop_boilerplate(docs, "source", "text", ratio=0.02, min_pages=3).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the smallest doc_id."""
+    """One document of each SimHash component (4-word shingles, 4 bits): the smallest doc_id."""
     return simhash.keep_one(docs, shingle=4, radius=4)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids (little-endian unsigned 32-bit) and number of tokens."""
+    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_col=None)
+    return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+
+
 STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 
 #: the classifier and the tokenizer have no SQL form
@@ -24,8 +55,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each written as Parquet to the shared folder and read again."""
-    import uuid
-
     root = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
