@@ -6,7 +6,7 @@ bigrams and those of the words' shapes (letters by case, digits, signs as they a
 for a word that repeats the one before); each family is hashed into the weight vector, and
 a feature's value is the square root of its share of the family.
 
-A bounded sample of the labelled rows is dealt to a fixed number of shards.  Each shard is
+A bounded sample of the labelled rows is dealt to shards of bounded size.  Each shard is
 one task that runs the sequential updates over its rows, and the shards' weights are
 averaged (parameter mixing).  Every text is scored whole, in place, against the broadcast
 weights, whose size is that of the hash space.
@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from cardlake.session import cut
+
 #: size of the weight vector; the last weight is the bias
 DIM = 1 << 18
-#: bound of the labelled rows learnt from, and the shards they are dealt to
+#: bound of the labelled ids learnt from, and how many of them make a shard
 SAMPLE = 24_576
-SHARDS = 6
+SHARD_ROWS = 4_096
 EPOCHS = 3
 #: updates: learning rate, its smoothing, and the two penalties
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
@@ -140,20 +142,23 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, rest: int,
-                    size: int) -> DataFrame:
+                    size: int) -> tuple[DataFrame, int]:
     """(id, text, y) of the ``size`` labelled ids, not held out, that come first by their
-    hash.  An id with several labels has their mean; null labels and ids are no labels."""
+    hash, and how many these are.  An id with several labels has their mean; null labels
+    and ids are no labels."""
     ids = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
            .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"), mod, rest))
            .groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(size))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "id")  # at most ``size`` ids
+    ids = cut(ids)
+    return texts.join(F.broadcast(ids), "id"), ids.count()  # at most ``size`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        mod: int = 3, rest: int = 1, size: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
+        mod: int = 3, rest: int = 1, size: int = SAMPLE) -> np.ndarray:
     """Weight vector learnt from at most ``size`` labelled ids that are not held out."""
-    sample = labelled_sample(docs, labels, label_col, id_col, text_col, mod, rest, size)
+    sample, n = labelled_sample(docs, labels, label_col, id_col, text_col, mod, rest, size)
+    shards = max(1, -(-n // SHARD_ROWS))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "text"], kind="stable")

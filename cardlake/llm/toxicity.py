@@ -8,8 +8,8 @@ part falls below zero the model has begun to learn the unlabelled texts by heart
 step goes back up that part instead.
 
 Features are a text's distinct lower-cased words and their prefixes, hashed; a feature's
-value is about the percentage of the distinct words that have it.  Toxic and unlabelled rows are bounded samples, dealt to a fixed number of
-shards; each shard is one task that trains one model, and their weights are averaged.
+value is about the percentage of the distinct words that have it.  Toxic and unlabelled rows are bounded samples, dealt to shards of bounded
+size; each shard is one task that trains one model, and their weights are averaged.
 Every text is scored whole, in place, against the broadcast weights.
 """
 
@@ -29,10 +29,10 @@ from cardlake.llm.quality import held_out, labelled_sample, sigmoid, slices
 
 DIM = 1 << 18
 PREFIXES = (4, 5, 6, 7)
-#: bounds of the confirmed and the unlabelled rows learnt from, and their shards
+#: bounds of the confirmed and the unlabelled ids learnt from, and how many make a shard
 POSITIVES = 4_096
 UNLABELLED = 8_192
-SHARDS = 2
+SHARD_ROWS = 6_144
 #: a feature must be in this many of a shard's texts, and this many standard errors more or
 #: less frequent in its confirmed texts than in its unlabelled ones
 MIN_TEXTS = 5
@@ -161,7 +161,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 0) -> t
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         mod: int = 5, rest: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
-        shards: int = SHARDS, prior: float | None = None) -> tuple[np.ndarray, float]:
+        prior: float | None = None) -> tuple[np.ndarray, float]:
     """(weights, bias) from the confirmed ids that come first by their hash, at most
     ``positives``, and as many as ``unlabelled`` ids of ``docs`` as such; held-out ids are
     in neither.  ``prior`` defaults to the share of toxic ids among all labelled ids that
@@ -173,8 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         prior = known.agg(F.avg("y")).first()[0] or 0.0
     sure = known.where("y > 0.5").select(id_col, F.lit(1).alias("y"))
     some = docs.select(id_col).distinct().withColumn("y", F.lit(0))
-    sample = labelled_sample(docs, sure, "y", id_col, text_col, mod, rest, positives).unionAll(
-        labelled_sample(docs, some, "y", id_col, text_col, mod, rest, unlabelled))
+    first, n = labelled_sample(docs, sure, "y", id_col, text_col, mod, rest, positives)
+    others, m = labelled_sample(docs, some, "y", id_col, text_col, mod, rest, unlabelled)
+    sample, shards = first.unionAll(others), max(1, -(-(n + m) // SHARD_ROWS))
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "key", "text"], kind="stable")

@@ -5,12 +5,14 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cardlake.llm import quality, queries
 from cardlake.session import table
-from tests.conftest import SF_SMALL
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_native import brute_lines
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
+SF_SMALL = "/root/testdata/sf0.01"
+
+
 def test_stages_match_brute_force(spark):
     docs = table(spark, SF_SMALL, "documents")
     columns = docs.columns
