@@ -81,6 +81,5 @@ def union_corpus(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def corpus_counts(cards: DataFrame) -> DataFrame:
-    """Cards per source (E5) and in total (E13) in one aggregate."""
-    per = cards.groupBy("source").agg(F.count(F.lit(1)).alias("n_cards"))
-    return per
+    """Cards per source (E5) and in total (E13, the row without a source), in one aggregate."""
+    return cards.rollup("source").agg(F.count(F.lit(1)).alias("n_cards"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardlake.functions.names import format_title
 from cardlake.functions.text import extract_emails, parse_fields, py_strip
-from cardlake.operators import cards, embed, ground, nest, retrieve
+from cardlake.operators import cards, ground, nest, retrieve
 from cardlake.session import cut, table
 from cardlake.streaming import fold
 
@@ -298,33 +298,28 @@ def concat_chunks(spark: SparkSession, sf: str) -> DataFrame:
 PROMPT = "Contexte fourni :\n{context}\n\nQuestion de l'utilisateur :\n{input}\n\nRéponse de l'assistant :\n"
 
 
-def _text_retrieval(spark: SparkSession, sf: str, dim: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Whole user turns ask whole documents: hashed bag-of-words vectors (J1), keyword
-    intent over the language bank (J2), typed top-4 by language and general top-3 (J4),
-    duplicates removed by content id.  The encoded corpus is checkpointed once (the
-    index build) and serves both searches."""
+def _text_questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(documents as cards, user turns as questions named ``conversation:turn``)."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("card_id"), F.col("lang").alias("type"),
                                                 F.col("text").alias("page_content"))
-    cards_v = cut(embed.hashing_encoder(docs, "page_content", "vec", dim).select("card_id", "type", "vec"))
-    turns = _user_turns(spark, sf).select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
+    turns = _user_turns(spark, sf).select(F.concat_ws(":", F.col("conv_id"), F.col("turn")).alias("qid"),
                                           F.col("text").alias("question"))
-    q = retrieve.classify(turns, LANG_BANK, text_col="question")
-    qv = cut(embed.hashing_encoder(q, "question", "qvec", dim).select("qid", "intent", "qvec"))
-    typed = retrieve.knn(qv.where(F.col("intent").isNotNull()).select("qid", F.col("intent").alias("qtype"), "qvec"),
-                         cards_v, 4, typed=True)
-    general = retrieve.knn(qv.select("qid", F.lit(None).cast("string").alias("qtype"), "qvec"), cards_v, 3,
-                           typed=False)
-    ids = retrieve.content_ids(docs)
-    merged = retrieve.merge_ranked([typed.join(ids, "card_id"), general.join(ids, "card_id")], key_col="content_id")
-    return merged, turns, docs
+    return docs, turns
+
+
+def _text_retrieval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whole user turns ask whole documents: hashed bag-of-words vectors (J1), keyword
+    intent over the language bank (J2), typed top-4 by language and general top-3 (J4),
+    duplicates removed by content.  Documents have no identifiers here."""
+    docs, turns = _text_questions(spark, sf)
+    cards_ = docs.withColumn("identifier", F.lit(None).cast("string"))
+    return cut(retrieve.retrieve(turns, cards_, LANG_BANK, {"en": "identifier"})), turns, docs
 
 
 def hybrid_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Typed then general retrieval of documents for every user turn, merged with
-    duplicates removed (J1, J2, J4, C11, C12, F1, G2, E10).  No SQL twin: the hashed
-    encoder has no DuckDB equivalent; tested against brute force instead."""
-    merged, _, _ = _text_retrieval(spark, sf)
-    return merged.select("qid", "position", "card_id", "stage")
+    duplicates removed (J1, J2, J4, C11, C12, F1, G2, E10)."""
+    return _text_retrieval(spark, sf)[0]
 
 
 def prompts_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,6 +329,65 @@ def prompts_documents(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.fill_prompt(ctx, turns, PROMPT)
 
 
+# Fixed value: keyword bank of the corpus questions, types in declaration order.
+CORPUS_BANK = {
+    "client": ["client", "solde"],
+    "fournisseur": ["fournisseur", "solde"],
+    "region": ["région"],
+    "nation": ["nation"],
+}
+
+
+def corpus_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """One question per customer, of four kinds: by name, by supplier, by region, without intent."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation").select("n_nationkey", "n_name"),
+                                          F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 4
+    supplier = F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 7 + 1).cast("string"), 9, "0"))
+    text = (F.when(k == 0, F.concat(F.lit("Quel est le solde du client "), F.col("c_name"), F.lit(" ?")))
+            .when(k == 1, F.concat(F.lit("Le fournisseur "), supplier, F.lit(" livre-t-il en "), F.col("n_name"), F.lit(" ?")))
+            .when(k == 2, F.concat(F.lit("Dans quelle région se trouve "), F.col("n_name"), F.lit(" ?")))
+            .otherwise(F.concat(F.col("n_name"), F.lit(" ou "), F.col("c_name"), F.lit(", "), F.col("c_mktsegment"))))
+    return c.select(F.col("c_custkey").alias("qid"), text.alias("question"))
+
+
+# Types whose cards are found by name, in index order.
+CORPUS_INDEX = {"client": "identifier", "fournisseur": "identifier", "nation": "identifier", "region": "identifier"}
+
+
+def retrieve_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole retriever over the whole corpus: cards named in the question, typed, then
+    general (J3, J4, C9, C11, C12, E10)."""
+    corpus = corpus_union(spark, sf).withColumn("position", F.regexp_extract("card_id", r"(\d+)$", 1).cast("long"))
+    return retrieve.retrieve(corpus_questions(spark, sf), corpus, CORPUS_BANK, CORPUS_INDEX, order="position")
+
+
+def _document_cards(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    emails = extract_emails("text")
+    mail_line = F.when((F.col("doc_id") % 2 == 0) & (F.size(emails) > 0),
+                       F.concat(F.lit("Adresse e-mail de contact : "), F.array_join(emails, ", "), F.lit("\n")))
+    card = F.concat(F.lit("--- FICHE DOCUMENT ---\nSource : "), "source", F.lit("\n"),
+                    F.coalesce(mail_line, F.lit("")), F.lit("Texte : "), "text", F.lit("\n"))
+    return d.select(F.col("doc_id").alias("card_id"), F.col("lang").alias("type"), F.col("source").alias("identifier"),
+                    card.alias("page_content"))
+
+
+def grounded_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns that name a source, answered by echoing the prompt with its e-mails in
+    the wrong case and grounded against the retrieved cards (J10, C10, F3, J6)."""
+    turns = _user_turns(spark, sf).select(
+        F.concat_ws(":", F.col("conv_id"), F.col("turn")).alias("qid"),
+        F.concat(F.col("text"), F.lit(" Contact de src"), (F.col("conv_id") % 20).cast("string"), F.lit(" ?")).alias("question"))
+    index = {t: "identifier" for t in LANG_BANK}
+
+    def answer(prompts: DataFrame) -> DataFrame:
+        return prompts.select("qid", F.replace(F.replace("prompt", F.lit("mail"), F.lit("MAIL")), F.lit(".org"), F.lit(".net")).alias("answer"))
+
+    out = ground.grounded_batch(turns, _document_cards(spark, sf), LANG_BANK, index, answer, PROMPT)
+    return out.select("qid", "n_cards", "grounded", "changed")
+
+
 QUERIES = {
     "cards_optional_lines": cards_optional_lines,
     "corpus_union": corpus_union,
@@ -352,4 +406,6 @@ QUERIES = {
     "concat_chunks": concat_chunks,
     "hybrid_documents": hybrid_documents,
     "prompts_documents": prompts_documents,
+    "retrieve_corpus": retrieve_corpus,
+    "grounded_batch": grounded_batch,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardlake.plans.cards_catalogue import DAY_NAMES, LANG_BANK, NO_COURSE, SLOTS
+from cardlake.plans.cards_catalogue import CORPUS_BANK, CORPUS_INDEX, DAY_NAMES, LANG_BANK, NO_COURSE, PROMPT, SLOTS
 from cardlake.plans.oracle import EMAIL_SQL, format_title_sql, strip_sql
 
 NL = "chr(10)"
@@ -116,9 +116,9 @@ SELECT user_id, '--- FICHE EMPLOI DU TEMPS ---' || {NL} || 'Section / Classe con
 FROM l"""
 
 
-def _bank_values() -> str:
+def _bank_values(bank: dict[str, list[str]] = LANG_BANK) -> str:
     rows = []
-    for i, (t, kws) in enumerate(LANG_BANK.items()):
+    for i, (t, kws) in enumerate(bank.items()):
         for kw in kws:
             rows.append(f"({_q(t)}, {i}, {_q(kw)})")
     return ", ".join(rows)
@@ -271,10 +271,114 @@ CONCAT = f"""
 WITH {EVENTS}
 SELECT msg_id, string_agg(text, '' ORDER BY seq) AS answer FROM e WHERE type = 'delta' GROUP BY msg_id"""
 
+GAPS = "'[^\\p{L}\\p{N}_]+'"
+
+
+def _slots(source: str, id_: str, text: str) -> str:
+    """Occurrences per hashed slot of each text's words."""
+    return f"""
+SELECT {id_}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot, count(*) AS n
+FROM (SELECT {id_}, unnest(string_split_regex(lower(coalesce({text}, '')), {GAPS})) AS w FROM {source}) WHERE w <> '' GROUP BY ALL"""
+
+
+def _retriever(cards: str, questions: str, bank: dict[str, list[str]], index: list[str], k: int = 4, fallback: int = 3) -> str:
+    """CTEs from cards (card_id, type, identifier, page_content, ord) and questions (qid,
+    question) to m (qid, position, card_id, stage)."""
+    index_values = ", ".join(f"({_q(t)}, {i})" for i, t in enumerate(index))
+    return f"""
+cards AS MATERIALIZED ({cards}),
+q AS MATERIALIZED ({questions}),
+cs AS MATERIALIZED ({_slots('cards', 'card_id', 'page_content')}),
+qs AS MATERIALIZED ({_slots('q', 'qid', 'question')}),
+cl AS (SELECT card_id, sqrt(sum(n * n)) AS l FROM cs GROUP BY card_id),
+ql AS (SELECT qid, sqrt(sum(n * n)) AS l FROM qs GROUP BY qid),
+dots AS (SELECT qid, card_id, sum(qs.n * cs.n) AS d FROM qs JOIN cs USING (slot) GROUP BY qid, card_id),
+bank(type, type_ord, kw) AS (VALUES {_bank_values(bank)}),
+hits AS (SELECT qid, type, type_ord, count(*) FILTER (contains(lower(coalesce(question, '')), kw)) AS hits FROM q, bank GROUP BY ALL),
+intent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, type_ord) AS rn FROM hits) WHERE rn = 1 AND hits > 0),
+scores AS MATERIALIZED (
+  SELECT q.qid, c.card_id, c.type, round(coalesce(d / (ql.l * cl.l), 0), 9) AS score FROM q CROSS JOIN cards c
+  LEFT JOIN dots ON dots.qid = q.qid AND dots.card_id = c.card_id LEFT JOIN ql ON ql.qid = q.qid LEFT JOIN cl ON cl.card_id = c.card_id),
+typed AS (SELECT s.qid, s.card_id, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, card_id) AS rank
+          FROM scores s JOIN intent i ON s.qid = i.qid AND s.type = i.type),
+general AS (SELECT qid, card_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, card_id) AS rank FROM scores),
+ix(type, index_ord) AS (VALUES {index_values}),
+ids AS (SELECT index_ord, lower({strip_sql('identifier')}) AS key, arg_max(card_id, ord) AS card_id, min(ord) AS key_ord
+        FROM cards JOIN ix USING (type) WHERE lower({strip_sql('identifier')}) <> '' GROUP BY ALL),
+cand AS MATERIALIZED (SELECT qid, lower(question) AS lq, ids.* FROM q JOIN ids ON contains(lower(question), key)),
+forced AS (SELECT qid, card_id, row_number() OVER (PARTITION BY qid ORDER BY index_ord, key_ord, key) AS rank
+           FROM cand WHERE regexp_matches(lq, '\\b' || regexp_escape(key) || '\\b')),
+stages AS (SELECT qid, 0 AS stage, rank, card_id FROM forced UNION ALL SELECT qid, 1, rank, card_id FROM typed WHERE rank <= {k}
+           UNION ALL SELECT qid, 2, rank, card_id FROM general WHERE rank <= {fallback}),
+firsts AS (SELECT stages.*, row_number() OVER (PARTITION BY qid, coalesce('=' || page_content, '') ORDER BY stage, rank, card_id) AS rn
+           FROM stages JOIN cards USING (card_id)),
+m AS MATERIALIZED (SELECT qid, card_id, stage, CAST(row_number() OVER (PARTITION BY qid ORDER BY stage, rank, card_id) - 1 AS INTEGER) AS position
+      FROM firsts WHERE rn = 1)"""
+
+
+TURNS = "SELECT conv_id || ':' || turn AS qid, text AS question FROM conversations WHERE role = 'user'"
+DOCUMENTS = _retriever("SELECT doc_id AS card_id, lang AS type, NULL::VARCHAR AS identifier, text AS page_content, doc_id AS ord FROM documents",
+                       TURNS, LANG_BANK, ["en"])
+HYBRID_DOCUMENTS = f"WITH {DOCUMENTS} SELECT qid, position, card_id, stage FROM m"
+
+
+def _prompt(context: str, question: str) -> str:
+    return f"replace(replace({_q(PROMPT)}, '{{context}}', coalesce({context}, '')), '{{input}}', coalesce({question}, ''))"
+
+
+_CONTEXT = "SELECT qid, string_agg(page_content, chr(10) || chr(10) ORDER BY position) AS context FROM m JOIN cards USING (card_id) GROUP BY qid"
+PROMPTS_DOCUMENTS = f"""
+WITH {DOCUMENTS}, ctx AS ({_CONTEXT})
+SELECT q.qid, {_prompt('context', 'question')} AS prompt FROM q LEFT JOIN ctx USING (qid)"""
+
+CORPUS_QUESTIONS = """
+SELECT c_custkey AS qid, CASE c_custkey % 4
+  WHEN 0 THEN 'Quel est le solde du client ' || c_name || ' ?'
+  WHEN 1 THEN 'Le fournisseur Supplier#' || lpad(CAST(c_custkey % 7 + 1 AS VARCHAR), 9, '0') || ' livre-t-il en ' || n_name || ' ?'
+  WHEN 2 THEN 'Dans quelle région se trouve ' || n_name || ' ?'
+  ELSE n_name || ' ou ' || c_name || ', ' || c_mktsegment END AS question
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+RETRIEVE_CORPUS = f"""
+WITH {_retriever(f"SELECT *, CAST(regexp_extract(card_id, '([0-9]+)$', 1) AS BIGINT) AS ord FROM ({CORPUS})", CORPUS_QUESTIONS, CORPUS_BANK, list(CORPUS_INDEX))}
+SELECT qid, position, card_id, stage FROM m"""
+
+_DOCUMENT_CARDS = f"""
+SELECT doc_id AS card_id, lang AS type, source AS identifier, doc_id AS ord,
+       '--- FICHE DOCUMENT ---' || {NL} || 'Source : ' || source || {NL}
+       || CASE WHEN doc_id % 2 = 0 AND len({_emails('text')}) > 0
+               THEN 'Adresse e-mail de contact : ' || array_to_string({_emails('text')}, ', ') || {NL} ELSE '' END
+       || 'Texte : ' || text || {NL} AS page_content FROM documents"""
+_SOURCE_TURNS = "SELECT conv_id || ':' || turn AS qid, text || ' Contact de src' || (conv_id % 20) || ' ?' AS question FROM conversations WHERE role = 'user'"
+GROUNDED_BATCH = f"""
+WITH {_retriever(_DOCUMENT_CARDS, _SOURCE_TURNS, LANG_BANK, list(LANG_BANK))},
+ctx AS ({_CONTEXT}),
+found AS (SELECT qid, position, identifier, card_id, {_emails('page_content')} AS emails FROM m JOIN cards USING (card_id)),
+valid AS (SELECT qid, list_sort(list_distinct(flatten(list(emails)))) AS valid FROM found GROUP BY qid),
+lines AS (SELECT card_id, generate_subscripts(string_split(page_content, {NL}), 1) AS li, unnest(string_split(page_content, {NL})) AS ln
+          FROM cards WHERE card_id IN (SELECT card_id FROM m)),
+f AS (SELECT card_id, li, lower({strip_sql("split_part(ln, ':', 1)")}) AS label, {strip_sql("substring(ln, strpos(ln, ':') + 1)")} AS value
+      FROM lines WHERE strpos(ln, ':') > 0),
+fk AS (SELECT *, row_number() OVER (PARTITION BY card_id, label ORDER BY li) AS rn FROM f WHERE label <> '' AND value <> ''),
+contact AS (SELECT card_id, flatten(list({_emails('value')} ORDER BY li)) AS emails FROM fk WHERE rn = 1 AND contains(label, 'mail') GROUP BY card_id),
+score AS (SELECT found.*, len(list_filter(list_filter(string_split_regex(lower(identifier), {GAPS}), lambda t: length(t) > 2),
+                                          lambda t: contains(lower(question), t))) AS score FROM found JOIN q USING (qid)),
+target AS (SELECT s.qid, coalesce(contact.emails, CAST([] AS VARCHAR[])) AS target
+           FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, position) AS rn FROM score WHERE score > 0) s
+           LEFT JOIN contact USING (card_id) WHERE rn = 1),
+g AS (SELECT q.qid, replace(replace({_prompt('context', 'question')}, 'mail', 'MAIL'), '.org', '.net') AS answer,
+             coalesce(valid.valid, CAST([] AS VARCHAR[])) AS valid, coalesce(target.target, CAST([] AS VARCHAR[])) AS target
+      FROM q LEFT JOIN ctx USING (qid) LEFT JOIN valid USING (qid) LEFT JOIN target USING (qid)),
+n AS (SELECT qid, count(*) AS n_cards FROM m GROUP BY qid),
+r AS (SELECT qid, answer, CASE WHEN len(valid) = 0 THEN answer ELSE array_to_string(list_transform(
+        list_zip(string_split_regex(answer, {EMAIL_SQL}),
+                 list_concat(list_transform(regexp_extract_all(answer, {EMAIL_SQL}), lambda m: {_fix('m')}), [''])),
+        lambda x: x[1] || x[2]), '') END AS grounded FROM g)
+SELECT r.qid, coalesce(n_cards, 0) AS n_cards, grounded, NOT coalesce(grounded = answer, FALSE) AS changed FROM r LEFT JOIN n USING (qid)"""
+
 SQL: dict[str, str] = {
     "cards_optional_lines": f"SELECT c_custkey, page_content FROM ({CUSTOMER_CARDS})",
     "corpus_union": CORPUS,
-    "corpus_counts": f"SELECT source, count(*) AS n_cards FROM ({CORPUS}) GROUP BY source",
+    "corpus_counts": f"SELECT source, count(*) AS n_cards FROM ({CORPUS}) GROUP BY ROLLUP (source)",
     "timetable_lines": _timetable(),
     "intent_keywords": INTENT,
     "forced_identifiers": FORCED,
@@ -287,4 +391,8 @@ SQL: dict[str, str] = {
     "ground_audit": GROUND_AUDIT,
     "fold_events": FOLD,
     "concat_chunks": CONCAT,
+    "hybrid_documents": HYBRID_DOCUMENTS,
+    "prompts_documents": PROMPTS_DOCUMENTS,
+    "retrieve_corpus": RETRIEVE_CORPUS,
+    "grounded_batch": GROUNDED_BATCH,
 }

@@ -21,17 +21,17 @@ def test_hybrid_documents_brute_force(spark):
         got.setdefault(r.qid, []).append((r.position, r.card_id))
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
         F.col("doc_id").alias("card_id"), F.col("lang").alias("type"), F.col("text").alias("page_content"))
-    dv = embed.hashing_encoder(docs, "page_content", "vec", 256).collect()
+    dv = embed.md5_encoder(docs, "page_content", "vec", 256).collect()
     turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").where("role = 'user'").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+        F.concat_ws(":", F.col("conv_id"), F.col("turn")).alias("qid"), F.col("text").alias("question"))
     from cardlake.operators.retrieve import classify
-    qv = embed.hashing_encoder(classify(turns, C.LANG_BANK), "question", "qvec", 256).collect()
+    qv = embed.md5_encoder(classify(turns, C.LANG_BANK), "question", "qvec", 256).collect()
     m = np.array([r.vec for r in dv], dtype=np.float64)
     ids = np.array([r.card_id for r in dv])
     types = np.array([r.type for r in dv])
     text = {r.card_id: r.page_content for r in dv}
     for q in qv:
-        s = m @ np.array(q.qvec, dtype=np.float64)
+        s = np.round(m @ np.array(q.qvec, dtype=np.float64), 9)
         order = sorted(range(len(ids)), key=lambda j: (-s[j], ids[j]))
         typed = [ids[j] for j in order if q.intent is not None and types[j] == q.intent][:4]
         general = [ids[j] for j in order][:3]
