@@ -7,25 +7,24 @@ the quantile's one or two target ranks are found by narrowing a value range per
 1. one partial aggregate gives per group ``n``, ``min`` and ``max``; the targets are the
    0-based ranks ``floor(h)`` and ``ceil(h)`` with ``h = (n - 1) * q``;
 2. while a target's range holds more than ``max_exact`` rows, its rows are counted in
-   ``buckets`` equal-width value buckets (a partial aggregate: at most ``buckets`` rows
-   per group and target, whatever the group size); the bucket holding the target rank
-   becomes the new range, bounded by the actual minimum and maximum in it.  The bucket
-   index is monotone in the value, so a bucket is exactly the rows between its minimum
-   and maximum, and every pass strictly shrinks the range's row count;
+   ``buckets`` equal-width buckets of an integer key (a partial aggregate: at most
+   ``buckets`` rows per group and target, whatever the group size); the bucket holding the
+   target rank becomes the new range, bounded by the actual minimum and maximum in it.
+   The key is the value's 64-bit pattern in sortable form, so infinities and values of any
+   magnitude are ordinary keys, nothing overflows, and every pass shrinks the range;
 3. a range of at most ``max_exact`` rows is collected and sorted, and the target picked.
 
 The result interpolates like ``percentile``/``quantile_cont``:
-``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``.  NULL values are ignored;
-NaN values are not supported (they are left out).  The small per-pass state is
-checkpointed to the shared folder, and the driver only asks whether any target is still
-open.
+``x[floor(h)] + (h - floor(h)) * (x[ceil(h)] - x[floor(h)])``.  NULL values are ignored.
+NaN is the largest value, as Spark orders it.  The small per-pass state is checkpointed to
+the shared folder, and the driver only asks whether any target is still open.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardlake.session import cut
@@ -39,6 +38,19 @@ def _broadcast_limit(spark: SparkSession) -> int:
     return limit(spark)
 
 
+def sortable(v: Column) -> Column:
+    """Integer key in the order of the doubles: -inf < numbers < inf < NaN; -0.0 is 0.0."""
+    plain = F.when(v == 0, F.lit(0.0)).otherwise(v)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+    return F.when(bits >= 0, bits).when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1).cast("long")))
+
+
+def from_sortable(key: Column) -> Column:
+    """The double of a key."""
+    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit((1 << 63) - 1).cast("long")))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
 def _measure(state: DataFrame, keys: Sequence[str], is_open) -> tuple[int, int, int, int]:
     """One pass over the state: rows and approximate bytes of the targets still open
     and of those left to collect."""
@@ -68,8 +80,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must lie in [0, 1]")
     keys = list(keys)
-    v = F.col(value).cast("double")
-    data = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    data = df.where(F.col(value).isNotNull()).select(*keys, sortable(F.col(value).cast("double")).alias("_v"))
     stats = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                                     F.max("_v").alias("_hi"))
     h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
@@ -82,9 +93,9 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
     while n_open:
         open_ = state.where(is_open)
         rows = _with_state(data, open_, keys, open_bytes)
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(buckets))).cast("long"),
-                    F.lit(buckets - 1).cast("long"))
+        # keys are below 2^63 in size, so their span may not fit in 64 bits: decimals
+        span = (F.col("_hi").cast("decimal(20,0)") - F.col("_lo").cast("decimal(20,0)") + 1)
+        b = F.floor((F.col("_v").cast("decimal(20,0)") - F.col("_lo").cast("decimal(20,0)")) * buckets / span).cast("long")
         counts = rows.groupBy(*keys, "_n", "_r", "_below", b.alias("_b")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
         w = Window.partitionBy(*keys, "_r").orderBy("_b")  # at most `buckets` rows per group and target
@@ -107,4 +118,6 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.
                                    F.max_by("_x", "_r").alias("_xhi"))
     frac = (F.col("_n") - 1).cast("double") * F.lit(float(q))
     frac = frac - F.floor(frac)
-    return per.select(*keys, (F.col("_xlo") + frac * (F.col("_xhi") - F.col("_xlo"))).alias(out))
+    lo, hi = from_sortable(F.col("_xlo")), from_sortable(F.col("_xhi"))
+    # between equal values (infinities too) nothing is interpolated
+    return per.select(*keys, F.when((F.col("_xlo") == F.col("_xhi")) | (frac == 0), lo).otherwise(lo + frac * (hi - lo)).alias(out))

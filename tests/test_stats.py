@@ -51,3 +51,21 @@ def test_median_matches_spark_median(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-12), k
+
+
+@pytest.mark.parametrize("max_exact, buckets", [(100_000, 4096), (5, 4), (1, 2)])
+def test_every_double_is_ordered(spark, max_exact, buckets):
+    """NaN counts as the largest value, infinities and values of any size are ordinary."""
+    nan, inf = float("nan"), float("inf")
+    groups = {"nan": [1.0, 2.0, nan], "inf": [1.0, 2.0, inf, -inf, 3.0] * 5, "huge": [1e308, -1e308, 1e-308, 5e-324, 0.0, -0.0, -5e-324],
+              "same": [inf] * 9, "mostly": [nan, nan, 1.0], "zeros": [0.0, -0.0] * 4, "none": [None, 4.0], "spread": [10.0 ** k for k in range(-300, 300, 7)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.5, 0.75, 1.0):
+        got = {r.k: r.m for r in exact_quantile(df, ["k"], "v", q, "m", buckets=buckets, max_exact=max_exact).collect()}
+        for k, vs in groups.items():
+            s = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+            h = (len(s) - 1) * q
+            lo, hi = s[int(h)], s[min(len(s) - 1, int(h) + (h > int(h)))]
+            want = lo if h == int(h) or lo == hi else lo + (h - int(h)) * (hi - lo)
+            assert got[k] == want or (got[k] != got[k] and want != want) or abs(got[k] - want) <= 1e-12 * abs(want), (k, q)
