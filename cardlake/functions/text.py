@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,21 +42,29 @@ def extract_emails(c: Column | str, pattern: str = EMAIL) -> Column:
     return F.sort_array(F.array_distinct(find_emails(c, pattern)))
 
 
+def bound(expr: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value of ``expr`` computed once, however often the body
+    (or a lambda inside it) refers to it."""
+    return F.get(F.transform(F.array(expr), body), 0)
+
+
 def parse_fields(c: Column | str) -> Column:
     """``Label : Value`` lines -> array<struct<label, value>>; split on the first ':',
     label stripped and lower-cased, value stripped, empty ones dropped, and the first
-    occurrence of a label wins (a map built from it would raise on repeats)."""
+    occurrence of a label wins (a map built from it would raise on repeats).  The pairs are
+    made once and sorted by label, so the work grows with the lines, not their square."""
     lines = F.split(F.coalesce(_col(c), F.lit("")), LINE_BREAK)
     pairs = F.transform(
         F.filter(lines, lambda ln: F.instr(ln, ":") > 0),
-        lambda ln: F.struct(
-            F.lower(py_strip(F.substring_index(ln, ":", 1))).alias("label"),
-            py_strip(F.substring(ln, F.instr(ln, ":") + 1, F.lit(1 << 30))).alias("value"),
+        lambda ln, i: F.struct(
+            F.lower(py_strip(F.substring_index(ln, ":", 1))).alias("label"), i.alias("pos"),
+            py_strip(F.substr(ln, F.instr(ln, ":") + 1)).alias("value"),
         ),
     )
-    kept = F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
-    labels = F.transform(kept, lambda p: p["label"])
-    return F.filter(kept, lambda p, i: F.array_position(labels, p["label"]) == i + 1)
+    by_label = F.sort_array(F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")))
+    firsts = bound(by_label, lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["label"] != p["label"])))
+    in_order = F.sort_array(F.transform(firsts, lambda p: F.struct(p["pos"].alias("pos"), p["label"].alias("label"), p["value"].alias("value"))))
+    return F.transform(in_order, lambda p: F.struct(p["label"].alias("label"), p["value"].alias("value")))
 
 
 def labelled_emails(c: Column | str, label_part: str = "mail", pattern: str = EMAIL) -> Column:

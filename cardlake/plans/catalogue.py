@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cardlake.functions.jsonx import decode_twice, parse_lenient, parse_strict, to_json_text
 from cardlake.functions.names import format_title, normalize_name, parse_list_text, strip_quotes
 from cardlake.functions.text import extract_emails, py_strip
-from cardlake.operators import lookup, nest, quality, shred, stats
+from cardlake.operators import lookup, nest, quality, retrieve, shred, stats
 from cardlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,7 +112,7 @@ def map_lookup_wide(spark: SparkSession, sf: str) -> DataFrame:
     columns; unmapped days/types dropped (A15-A17)."""
     ev = table(spark, sf, "events").select(
         "user_id", F.date_format("ts", "EEE").alias("day"), "event_type", "event_id"
-    ).repartition("user_id")
+    )
     cells = ev.groupBy("user_id", "day", "event_type").agg(
         nest.ordered_list(["event_id"], ["event_id"], scalar=True).alias("ids")
     )
@@ -284,8 +284,9 @@ def reject_blank(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     k = F.col("turn") % 7
     text = F.when(k == 3, F.lit("   ")).when(k == 5, F.lit("")).when(k == 6, F.lit(None)).otherwise(F.col("text"))
-    ok = F.coalesce(py_strip(text), F.lit("")) != ""
-    return c.select("conv_id", "turn", F.when(ok, "valid").otherwise("rejected").alias("status"))
+    asked, rejected = retrieve.split_blank(c.select("conv_id", "turn", text.alias("text")), "text")
+    return asked.select("conv_id", "turn", F.lit("valid").alias("status")).unionAll(
+        rejected.select("conv_id", "turn", F.lit("rejected").alias("status")))
 
 
 def latency_by_category(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,11 +44,14 @@ def get_spark(cpus: int | str = "*", app: str = "cardlake", shuffle_partitions:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset (local
-    tests) do we create a scratch folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session may do without,
+    and gets a scratch folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cardlake-ckpt-", dir=os.environ.get("CARDLAKE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from cardlake.functions.text import bound
+
 # Fixed value: prefix shown for an error event.
 ERROR_PREFIX = "Désolé, une erreur est survenue : "
 
@@ -27,21 +29,25 @@ EVENT_SCHEMA = "msg_id long, seq long, type string, text string"
 FOLDED_TYPES = ("delta", "done", "error")
 
 
+EVENTS_JSON = "array<struct<seq: bigint, type: string, text: string>>"
+
+
 def fold_expr(events: Column) -> Column:
     """Fold an ``array<struct<seq, type, text>>`` (any order) into the final text;
     NULL when no delta/done/error occurred."""
-    ordered = F.sort_array(F.array_distinct(events))
+    def folded(o: Column) -> Column:
+        last = F.array_max(F.transform(o, lambda e, i: F.when(e["type"].isin("done", "error"), i)))
+        return bound(F.coalesce(last, F.lit(-1)), lambda at: after(o, at))
 
-    def step(acc, e):
-        t = F.coalesce(e["text"], F.lit(""))
-        return (
-            F.when(e["type"] == "delta", F.concat(F.coalesce(acc, F.lit("")), t))
-            .when(e["type"] == "done", t)
-            .when(e["type"] == "error", F.concat(F.lit(ERROR_PREFIX), t))
-            .otherwise(acc)
-        )
+    def after(o: Column, at: Column) -> Column:
+        """The last replacing event's text, then the deltas behind it in one join."""
+        e = F.get(o, at)
+        base = F.when(e["type"] == "error", F.concat(F.lit(ERROR_PREFIX), F.coalesce(e["text"], F.lit("")))).when(
+            e["type"] == "done", F.coalesce(e["text"], F.lit("")))
+        tail = F.transform(F.filter(o, lambda d, i: (i > at) & (d["type"] == "delta")), lambda d: F.coalesce(d["text"], F.lit("")))
+        return bound(tail, lambda t: F.when((at >= 0) | (F.size(t) > 0), F.concat(F.coalesce(base, F.lit("")), F.array_join(t, ""))))
 
-    return F.aggregate(ordered, F.lit(None).cast("string"), step)
+    return bound(F.sort_array(F.array_distinct(F.coalesce(events, F.array().cast(EVENTS_JSON)))), folded)
 
 
 def fold_events(events: DataFrame, key: str = "msg_id") -> DataFrame:
@@ -84,9 +90,6 @@ def fold_stream(spark: SparkSession, path: str, fmt: str = "json", key: str = "m
     return fold_events(src, key)
 
 
-EVENTS_JSON = "array<struct<seq: bigint, type: string, text: string>>"
-
-
 def _keep_events(timeout_ms: int):
     """State function: a message's distinct events as JSON text, extended with each
     micro-batch's events and re-armed with an idle timeout; a timed-out message is
@@ -116,11 +119,12 @@ def _keep_events(timeout_ms: int):
     return fn
 
 
-def fold_stream_expiring(stream: DataFrame, idle_timeout_ms: int = 30 * 60 * 1000, key: str = "msg_id") -> DataFrame:
+def fold_stream_expiring(stream: DataFrame, idle_timeout_ms: int, key: str = "msg_id") -> DataFrame:
     """Streaming fold whose state is dropped after ``idle_timeout_ms`` without events
     for a message (processing-time timeout), so a long-running stream keeps state only
     for live messages.  Output mode ``update``: each micro-batch emits the current text
-    of every message that received events.  The fold itself is :func:`fold_expr`, the
+    of every message that received events, so the last text before the timeout is already
+    out.  Choose a timeout longer than any pause within a message.  The fold itself is :func:`fold_expr`, the
     same expression as the batch fold; an event arriving after its message expired
     starts the message afresh.  Run it with a processing-time trigger: timeouts are
     checked by (empty) micro-batches, which an as-fast-as-possible trigger would run

@@ -104,3 +104,17 @@ def test_snake_case_examples(spark):
     for raw, want in {"filière": "fili_re", "spécialité": "sp_cialitx", "8H30 / 10H": "_8_h30_10_h",
                       "UNITED STATES": "united_states", "": ""}.items():
         assert _one(spark, snake_case_col, raw) == want, raw
+
+
+def test_parse_fields_grows_with_the_lines(spark):
+    """Thousands of lines and values of any length: first label wins, order kept."""
+    lines = [f"L{i % 700} : v{i}" for i in range(4000)] + ["big : " + "x" * 200_000, "no field", " : nothing", "empty :", "a : b : c"]
+    text = "\n".join(lines)
+    want = {}
+    for ln in lines:
+        if ":" in ln:
+            k, v = ln.split(":", 1)
+            if k.strip() and v.strip():
+                want.setdefault(k.strip().lower(), v.strip())
+    got = spark.createDataFrame([(text,)], "t string").select(parse_fields("t")).first()[0]
+    assert [(g.label, g.value) for g in got] == list(want.items())
