@@ -46,14 +46,17 @@ def snake_case_col(c: Column | str) -> Column:
     return F.when(F.length(x) > 1, F.regexp_replace(x, "_$", "x")).otherwise(x)
 
 
-def unwrap(df: DataFrame, key: str) -> DataFrame:
-    """Envelope object -> one row with its fields as columns, only when present (A3)."""
-    return df.where(F.col(key).isNotNull()).select(f"{key}.*")
+def unwrap(df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Envelope object -> one row with its fields as columns, only when present (A3);
+    ``keep`` names columns beside the envelope that ride along."""
+    return df.where(F.col(key).isNotNull()).select(f"{key}.*", *keep)
 
 
-def unwrap_list(df: DataFrame, key: str) -> DataFrame:
-    """Envelope holding a list -> one row per element (A4)."""
-    return df.where(F.col(key).isNotNull()).select(F.inline(F.col(key)))
+def unwrap_list(df: DataFrame, key: str, keep: Sequence[str] = (), pos: str | None = None) -> DataFrame:
+    """Envelope holding a list -> one row per element (A4), with its position in column
+    ``pos`` if that is given."""
+    items = df.select(F.posexplode(F.col(key)).alias("_i", "_e"), *keep)
+    return items.select("_e.*", *keep, *([F.col("_i").alias(pos)] if pos else []))
 
 
 def flatten(df: DataFrame, sep: str = SEP, keep: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.functions.names import format_title
-from cardlake.functions.text import extract_emails, parse_fields, py_strip
+from cardlake.functions.text import extract_emails, parse_fields
 from cardlake.operators import cards, ground, nest, retrieve
 from cardlake.session import cut, table
 from cardlake.streaming import fold
@@ -104,53 +104,6 @@ def cards_optional_lines(spark: SparkSession, sf: str) -> DataFrame:
                                             "page_content")
 
 
-# Weekday names and the five course slots of a timetable.
-DAY_NAMES = {"Mon": "Lundi", "Tue": "Mardi", "Wed": "Mercredi", "Thu": "Jeudi", "Fri": "Vendredi", "Sat": "Samedi"}
-SLOTS = [  # (slot name, first minute of day, end minute)
-    ("08h30_10h00", 510, 600),
-    ("10h15_11h45", 615, 705),
-    ("12h00_13h30", 720, 810),
-    ("13h45_15h15", 825, 915),
-    ("15h30_17h00", 930, 1020),
-]
-NO_COURSE = "Aucun cours programmé pour cette section."
-
-
-def timetable_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """One timetable card per user: one line per event that falls in a known day and
-    slot, in day, slot and time order; unknown days/slots ignored (I5, B9, H12)."""
-    ev = table(spark, sf, "events")
-    dname = F.date_format("ts", "EEE")
-    day_ord = F.array_position(F.array(*[F.lit(d) for d in DAY_NAMES]), dname)
-    day = F.element_at(F.create_map(*[F.lit(x) for kv in DAY_NAMES.items() for x in kv]), dname)
-    minute = F.hour("ts") * 60 + F.minute("ts")
-    slot = F.lit(None).cast("string")
-    for name, lo, hi in reversed(SLOTS):
-        slot = F.when((minute >= lo) & (minute < hi), F.lit(name)).otherwise(slot)
-    module = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
-    grp = F.when(F.col("event_type") != "view", F.concat(F.lit("G"), (F.col("user_id") % 3 + 1).cast("string")))
-    room = F.when(F.col("event_type") != "click", F.concat(F.lit("S"), (F.col("event_id") % 20).cast("string")))
-    details = py_strip(F.concat(
-        F.when(cards.truthy("event_type"), F.concat(F.lit("["), "event_type", F.lit("] "))).otherwise(F.lit("")),
-        F.coalesce(module, F.lit("")),
-        F.when(cards.truthy(grp), F.concat(F.lit(" pour le groupe "), grp)).otherwise(F.lit("")),
-        F.when(cards.truthy(room), F.concat(F.lit(" (Salle: "), room, F.lit(")"))).otherwise(F.lit("")),
-    ))
-    keep = (day_ord > 0) & slot.isNotNull() & (cards.truthy(module) | cards.truthy("event_type"))
-    text = F.when(keep, F.concat(F.lit("- Le "), day, F.lit(" de "), F.replace(slot, F.lit("_"), F.lit(" à ")),
-                                 F.lit(" : "), details))
-    rows = ev.select("user_id", day_ord.alias("d"), slot.alias("s"), "ts", "event_id", text.alias("line"))
-    per = rows.groupBy("user_id").agg(
-        nest.ordered_list(["d", "s", "ts", "event_id"], ["line"], scalar=True, keep=F.col("line").isNotNull())
-        .alias("lines"))
-    planning = F.when(F.size("lines") > 0, F.concat(F.array_join("lines", "\n"), F.lit("\n"))).otherwise(
-        F.lit(NO_COURSE))
-    section = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
-    content = F.concat(F.lit("--- FICHE EMPLOI DU TEMPS ---\nSection / Classe concernée : "), section,
-                       F.lit("\nPlanning complet des cours de la semaine :\n"), planning, F.lit("\n"))
-    return per.select("user_id", content.alias("page_content"))
-
-
 # A small language keyword bank standing in for the intent bank; types in
 # declaration order (a tie goes to the first).
 LANG_BANK = {
@@ -392,7 +345,6 @@ QUERIES = {
     "cards_optional_lines": cards_optional_lines,
     "corpus_union": corpus_union,
     "corpus_counts": corpus_counts,
-    "timetable_lines": timetable_lines,
     "intent_keywords": intent_keywords,
     "forced_identifiers": forced_identifiers,
     "topk_typed": topk_typed,

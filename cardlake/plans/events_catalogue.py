@@ -145,7 +145,7 @@ def json_unwrap(spark: SparkSession, sf: str) -> DataFrame:
     docs = nested.select(F.to_json(F.struct(F.struct("c_custkey", "c_name", "commandes").alias("client")))
                          .alias("doc"))
     client = shred.unwrap(jsondocs.decode_documents(docs, "doc", CLIENT_DOC), "client")
-    return client.select("c_custkey", "c_name", F.inline(F.col("commandes")))
+    return shred.unwrap_list(client, "commandes", ["c_custkey", "c_name"])
 
 
 QUERIES = {

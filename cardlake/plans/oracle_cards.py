@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from cardlake.plans.cards_catalogue import CORPUS_BANK, CORPUS_INDEX, DAY_NAMES, LANG_BANK, NO_COURSE, PROMPT, SLOTS
+from cardlake.plans.cards_catalogue import CORPUS_BANK, CORPUS_INDEX, LANG_BANK, PROMPT
+from cardlake.plans.domain_cards import L
 from cardlake.plans.oracle import EMAIL_SQL, format_title_sql, strip_sql
+from cardlake.plans.slots import DAY_NAMES, SLOTS
 
 NL = "chr(10)"
 
@@ -111,7 +113,7 @@ l AS (
                     ORDER BY d, s, ts, event_id) FILTER (WHERE d > 0 AND s IS NOT NULL) AS planning
   FROM e GROUP BY user_id)
 SELECT user_id, '--- FICHE EMPLOI DU TEMPS ---' || {NL} || 'Section / Classe concernée : user_' || user_id || {NL}
-       || 'Planning complet des cours de la semaine :' || {NL} || coalesce(planning, {_q(NO_COURSE)}) || {NL}
+       || 'Planning complet des cours de la semaine :' || {NL} || coalesce(planning, {_q(L["t_none"])}) || {NL}
        AS page_content
 FROM l"""
 
@@ -379,7 +381,6 @@ SQL: dict[str, str] = {
     "cards_optional_lines": f"SELECT c_custkey, page_content FROM ({CUSTOMER_CARDS})",
     "corpus_union": CORPUS,
     "corpus_counts": f"SELECT source, count(*) AS n_cards FROM ({CORPUS}) GROUP BY ROLLUP (source)",
-    "timetable_lines": _timetable(),
     "intent_keywords": INTENT,
     "forced_identifiers": FORCED,
     "topk_typed": _knn(4, True),

@@ -13,7 +13,7 @@ import logging
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
@@ -113,39 +113,58 @@ def timetable_wide(df: DataFrame) -> DataFrame:
     return map_to_wide(kept, "emploi_du_temps", DAY_KEYS, slot_codes, "emploi_du_temps")
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """Source order of root rows as ``_pos``.  A multi-line JSON file is one partition
-    read front to back, and files are listed in path order, so the ids follow the
-    documents and are the same on every run; lookups that the source resolves by
-    row order (first/last wins) order by it."""
-    return df.withColumn("_pos", F.monotonically_increasing_id())
+def read_positioned(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents with their source order as ``_pos``: file name and place in the file's
+    top-level list (an object is a list of one).  It is read from the data, not from the
+    plan, so adding a file or splitting the scan otherwise changes no other row's position.
+    A missing file gives an empty DataFrame and a warning (A2); malformed text raises."""
+    empty = StructType.fromDDL(schema).add("_pos", "string")
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            log.warning("file not found: %s", path)
+            return spark.createDataFrame([], empty)
+        raise
+    docs = F.from_json("value", f"array<struct<{schema}>>", {"mode": "FAILFAST"})
+    rows = raw.select(F.col("_metadata.file_name").alias("_f"), F.posexplode(docs).alias("_p", "_d"))
+    return rows.select("_d.*", position("_f", "_p").alias("_pos"))
+
+
+def position(prefix: str, index: str) -> Column:
+    """Text that sorts by the prefix, then by the index."""
+    return F.concat(F.col(prefix), F.lit(":"), F.lpad(F.col(index).cast("string"), 12, "0"))
 
 
 def _root(df: DataFrame) -> DataFrame:
-    """A document root with its source order, cut once: every child table of the root is
-    then an explode of the saved rows, not a fresh parse of the JSON file, and ``_pos``
-    is fixed for all of them."""
-    return cut(with_position(df))
+    """A document root, cut once: every child table of the root is then an explode of the
+    saved rows, not a fresh parse of the JSON file."""
+    return cut(df)
 
 
-def shred_sources(spark: SparkSession, raw_dir: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """The six documents as the 16 relational tables (A3-A9, A11, A14-A17).  ``files``
-    maps a document's default name (the keys of ``SCHEMAS``) to its actual file name."""
-    d = raw_dir.rstrip("/")
-    names = dict(files or {})
-    read = lambda name: read_json(spark, f"{d}/{names.get(name, name)}", SCHEMAS[name])
+def shred_documents(docs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The six documents (named as in ``SCHEMAS``, each with its source order ``_pos``) as
+    the 16 relational tables (A3-A9, A11, A14-A17)."""
     out: dict[str, DataFrame] = {}
-    fac = _root(snake_columns(unwrap(read("faculte.json"), "faculte")))
+    fac = _root(snake_columns(unwrap(docs["faculte.json"], "faculte", ["_pos"])))
     out.update(shred(fac, "faculte", ["nom_officiel", "_pos"]))
-    dep = _root(snake_columns(unwrap_list(read("departements.json"), "departements")))
+    items = unwrap_list(docs["departements.json"], "departements", ["_pos"], "_n")
+    dep = _root(snake_columns(items.withColumn("_pos", position("_pos", "_n")).drop("_n")))
     out.update(shred(dep, "departements", ["nom", "_pos"]))
-    out.update(shred(_root(snake_columns(read("formations.json"))), "formations", ["type", "_pos"]))
-    out["emplois"] = timetable_wide(with_position(read("emplois_final.json")))
-    out.update(shred(_root(snake_columns(read("laboratoires.json"))), "laboratoires", ["title", "_pos"]))
-    out.update(shred(_root(snake_columns(read("professeurs.json"))), "professeurs", ["name", "_pos"]))
+    out.update(shred(_root(snake_columns(docs["formations.json"])), "formations", ["type", "_pos"]))
+    out["emplois"] = timetable_wide(docs["emplois_final.json"])
+    out.update(shred(_root(snake_columns(docs["laboratoires.json"])), "laboratoires", ["title", "_pos"]))
+    out.update(shred(_root(snake_columns(docs["professeurs.json"])), "professeurs", ["name", "_pos"]))
     return out
 
 
+def shred_sources(spark: SparkSession, raw_dir: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """The six source files as tables.  ``files`` maps a document's default name (the keys
+    of ``SCHEMAS``) to its actual file name."""
+    d, names = raw_dir.rstrip("/"), dict(files or {})
+    return shred_documents({name: read_positioned(spark, f"{d}/{names.get(name, name)}", schema) for name, schema in SCHEMAS.items()})
+
+
 def load_all(spark: SparkSession, tables: Mapping[str, DataFrame], target: str) -> DataFrame:
     """Full-replace write of every table under ``target/<name>`` (A10, A12) and a load
     report ``(table_name, rows)`` read back from the written files (A13)."""
