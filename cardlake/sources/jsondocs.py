@@ -165,13 +165,17 @@ def shred_sources(spark: SparkSession, raw_dir: str, files: Mapping[str, str] |
     return shred_documents({name: read_positioned(spark, f"{d}/{names.get(name, name)}", schema) for name, schema in SCHEMAS.items()})
 
 
-def load_all(spark: SparkSession, tables: Mapping[str, DataFrame], target: str) -> DataFrame:
+def load_all(spark: SparkSession, tables: Mapping[str, DataFrame], target: str, database: str | None = None) -> DataFrame:
     """Full-replace write of every table under ``target/<name>`` (A10, A12) and a load
-    report ``(table_name, rows)`` read back from the written files (A13)."""
+    report ``(table_name, rows)`` read back from the written files (A13).  With
+    ``database``, the tables are also named in the catalog, as ``database.<name>``."""
     rows = []
     for name, df in tables.items():
         path = f"{target.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if database:
+            df.write.mode("overwrite").option("path", path).format("parquet").saveAsTable(f"{database}.{name}")
+        else:
+            df.write.mode("overwrite").parquet(path)
         rows.append((name, spark.read.parquet(path).count()))
     return spark.createDataFrame(rows, "table_name string, rows long")
 

@@ -121,3 +121,33 @@ def test_department_match_modes(built):
                                                                                 match="normalized").collect()}
     assert "Licence Génie Logiciel" not in exact["Informatique"]
     assert "- Licence Génie Logiciel (Coordonnateur : Pr. BENTAIB MOHSSINE)\n- Licence Réseaux" in norm["Informatique"]
+
+
+def test_catalog_tables_are_replaced(spark, scratch):
+    """Tables named in a catalog database hold the last load only."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS cardlake_load")
+    try:
+        for n in (3, 2):
+            report = jsondocs.load_all(spark, {"t": spark.range(n)}, f"{scratch}/load", "cardlake_load")
+            assert [(r.table_name, r.rows) for r in report.collect()] == [("t", n)]
+            assert spark.table("cardlake_load.t").count() == n
+    finally:
+        spark.sql("DROP DATABASE cardlake_load CASCADE")
+
+
+def test_added_files_leave_other_positions(spark, scratch):
+    """Positions come from file name and place in the list: another file changes none."""
+    import json
+
+    def write(name, rows):
+        with open(f"{scratch}/{name}", "w", encoding="utf-8") as f:
+            json.dump(rows, f)
+
+    write("b.json", [{"name": f"p{i}"} for i in range(5)])
+    schema = jsondocs.SCHEMAS["professeurs.json"]
+    before = {r.name: r._pos for r in jsondocs.read_positioned(spark, f"{scratch}/*.json", schema).collect()}
+    write("a.json", [{"name": f"q{i}"} for i in range(50)])
+    write("c.json", {"name": "alone"})
+    after = {r.name: r._pos for r in jsondocs.read_positioned(spark, f"{scratch}/*.json", schema).collect()}
+    assert len(after) == 56 and {k: after[k] for k in before} == before
+    assert sorted(before.values()) == [before[f"p{i}"] for i in range(5)]
