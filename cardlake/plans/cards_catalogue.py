@@ -119,9 +119,9 @@ def _user_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def intent_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword intent of every user turn."""
-    q = _user_turns(spark, sf)
-    return retrieve.classify(q, LANG_BANK, text_col="text").select("conv_id", "turn", "intent", "intent_score")
+    """Keyword intent of every user turn, one of the bank's types."""
+    q = retrieve.classify(_user_turns(spark, sf), LANG_BANK, text_col="text")
+    return q.select("conv_id", "turn", retrieve.valid_intent("intent", LANG_BANK).alias("intent"), "intent_score")
 
 
 def order_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +137,7 @@ def order_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forced_identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Cards named exactly (whole word) in each question: customers, then nations."""
+    """Cards named exactly (whole word) in each question: customers, then nations."""
     corpus = customer_cards(spark, sf).unionByName(_nation_cards(spark, sf))
     ids = retrieve.identifier_table(corpus, {"client": "identifier", "nation": "identifier"})
     hits = retrieve.forced_cards(order_questions(spark, sf), ids, with_content=False)
@@ -152,7 +152,7 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def topk_typed(spark: SparkSession, sf: str) -> DataFrame:
-    """Top 4 cards of the question's type per question."""
+    """Top 4 cards of the question's type per question."""
     q, c = _vectors(spark, sf)
     return retrieve.knn(q, c, 4, typed=True).withColumn("score", F.round("score", 6))
 
@@ -216,7 +216,7 @@ def _grounding_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
 
 
 def ground_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every e-mail of every (whole) answer checked against its context."""
+    """Every e-mail of every (whole) answer checked against its context."""
     answers, context = _grounding_inputs(spark, sf)
     return ground.ground_answers(answers, context).withColumnRenamed("qid", "doc_id")
 
@@ -310,7 +310,7 @@ CORPUS_INDEX = {"client": "identifier", "fournisseur": "identifier", "nation": "
 
 def retrieve_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The whole retriever over the whole corpus: cards named in the question, typed, then
-    general (J3, J4, C9, C11, C12, E10)."""
+    general (A21, B10, J3, J4, C9, C11, C12, E10)."""
     corpus = corpus_union(spark, sf).withColumn("position", F.regexp_extract("card_id", r"(\d+)$", 1).cast("long"))
     return retrieve.retrieve(corpus_questions(spark, sf), corpus, CORPUS_BANK, CORPUS_INDEX, order="position")
 

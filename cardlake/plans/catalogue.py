@@ -218,7 +218,7 @@ def format_title_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_list_text_q(spark: SparkSession, sf: str) -> DataFrame:
-    """``[a, b]`` list text parsed back into items (H5)."""
+    """``[a, b]`` list text parsed back into items (H5, H8)."""
     p = table(spark, sf, "part")
     k = F.col("p_size") % 6
     raw = (

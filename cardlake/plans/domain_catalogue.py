@@ -161,7 +161,7 @@ def domain_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def domain_suite(spark: SparkSession, sf: str) -> DataFrame:
-    """Every column test of the staged models."""
+    """Every column test of the staged models."""
     stg = staging.build_staging(_tables(spark, sf))
     return quality.run_suite(stg, [quality.Spec(t, c, tests) for t, c, tests in staging.STAGING_TESTS])
 
