@@ -43,8 +43,8 @@ WIDTH = 0.85
 #: bounds of the sample for the spread and of the queries for the neighbours' distance
 SAMPLE = 2_048
 FIT_QUERIES = 64
-#: vectors and queries that meet in one task
-BLOCK = 8_192
+#: components of the vectors, and of the queries, that meet in one task
+BLOCK = 1 << 21
 
 
 @dataclass
@@ -226,8 +226,8 @@ def fit(vectors: DataFrame, k: int, tables: int = TABLES, projections: int = PRO
 
 def search(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int, n_queries: int, k: int, chance: float) -> DataFrame:
     """(h1, h2, vec_id, score): the ``k`` best ids found for each distinct query vector."""
-    blocks = max(1, ceil(n_vectors / BLOCK))
-    rounds = max(1, ceil(n_queries / BLOCK))
+    room = max(1, BLOCK // len(index.directions))  # rows
+    blocks, rounds = max(1, ceil(n_vectors / room)), max(1, ceil(n_queries / room))
     tables = index.tables
     where = "tab int, block int"
 
@@ -260,7 +260,7 @@ def search(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int,
     members = vectors.mapInArrow(hashed, f"{where}, cell int, h1 bigint, h2 bigint, vec array<double>, ids array<bigint>")
     asked = queries.mapInArrow(asking, f"{where}, cells array<int>, h1 bigint, h2 bigint, vec array<double>")
     # a block of crowded cells is split; its queries then go to every part
-    parts = members.groupBy("tab", "block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
+    parts = members.groupBy("tab", "block").agg(F.ceil(F.count(F.lit(1)) / (2 * room)).cast("int").alias("parts"))
     keys = ["tab", "block", "part", "turn"]
     members = (members.join(F.broadcast(parts), ["tab", "block"])  # one row per table and block
                .withColumn("part", F.pmod("h1", F.col("parts")).cast("int"))

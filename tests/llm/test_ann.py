@@ -37,7 +37,7 @@ def recall(got, want):
     return np.mean([len({j for _, j in got.get(i, [])} & {j for _, j in w}) / len(w) for i, w in want.items()])
 
 
-@pytest.mark.parametrize("sf, blocks", [("sf0.01", 8_192), ("sf0.1", 300)])
+@pytest.mark.parametrize("sf, blocks", [("sf0.01", 1 << 21), ("sf0.1", 20_000)])
 def test_recall_and_exact_scores(spark, monkeypatch, sf, blocks):
     monkeypatch.setattr(ann, "BLOCK", blocks)
     path = f"/root/testdata/{sf}"
@@ -59,7 +59,7 @@ def test_all_cells_give_the_exact_result(spark, monkeypatch):
     v = [*(rng.normal(size=8) * rng.uniform(0.1, 3) for _ in range(150)), *([np.ones(8)] * 60), *(np.eye(8)[i % 8] * 2 for i in range(40))]
     rows = [(int(i), [float(x) for x in w]) for i, w in zip(rng.permutation(len(v)), v)]
     want = brute(rows, lambda i: i % 5 == 0, 7)
-    for parts, block in ((1, 8_192), (5, 17)):
+    for parts, block in ((1, 1 << 21), (5, 150)):
         monkeypatch.setattr(ann, "BLOCK", block)
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
         assert as_dict(ann.nearest(df, F.col("vec_id") % 5 == 0, 7, recall=1.0)) == want
