@@ -50,13 +50,20 @@ def test_query_matches_sql(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _fp(df.columns, rows) == _fp(ocols, cur.fetchall())
+    _no_pair_join(df, name)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_query_plan_has_no_pair_join(spark, name):
+def _no_pair_join(df, name):
     """No registered query pairs every row with every row: no cartesian product or
-    nested-loop join anywhere in the final plan."""
-    df = E.queries()[name](spark, SF_SMALL)
-    df.write.format("noop").mode("overwrite").save()
+    nested-loop join anywhere in the final plan of the run that was made."""
     plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan or "AdaptiveSparkPlan" not in plan, name
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+def test_query_plan_has_no_pair_join(spark, name):
+    """The queries without an SQL twin, whose plans the comparison above does not see."""
+    df = E.queries()[name](spark, SF_SMALL)
+    df.collect()
+    _no_pair_join(df, name)
