@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cardlake.functions.jsonx import decode_twice, parse_lenient, parse_strict, to_json_text
 from cardlake.functions.names import format_title, normalize_name, parse_list_text, strip_quotes
-from cardlake.functions.text import extract_emails, py_strip
+from cardlake.functions.text import extract_emails
 from cardlake.operators import lookup, nest, quality, retrieve, shred, stats
 from cardlake.session import table
 
