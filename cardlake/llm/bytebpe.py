@@ -36,8 +36,9 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     tokens: list[bytes]
     byte_ids: list[int]
-    #: (left id, right id) -> (rank, merged id)
-    merges: dict[tuple[int, int], tuple[int, int]]
+    #: (left id, right id) -> rank, and the merged id of each rank
+    ranks: dict[tuple[int, int], int]
+    merged: list[int]
     special: dict[str, int]
 
     def merge(self, word: bytes) -> list[int]:
@@ -45,37 +46,42 @@ class ByteBpe:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        find, none = self.merges.get, (1 << 60, -1)
-        while len(ids) > 1:
-            pairs = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
-            best = min(pairs)
-            if best is none:
+        find, none, merged = self.ranks.get, len(self.merged), self.merged
+        ranks = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            i = pairs.index(best)
-            ids[i:i + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i:i + 2] = [merged[best]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = find((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = find((ids[i - 1], ids[i]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a queue of pairs, for words of any length."""
         n = len(ids)
         right, left = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        find = self.ranks.get
+        # entries are (rank, position, left id, right id); stale ones are skipped
+        queue = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := find((ids[i], ids[i + 1]))) is not None]
         heapify(queue)
-        queue_key = self.merges.get
-        # entries are (rank, merged id, position, left id, right id); stale ones are skipped
         while queue:
-            _, merged, i, a, b = heappop(queue)
+            rank, i, a, b = heappop(queue)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = merged, -1
+            ids[i], ids[j] = self.merged[rank], -1
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if m := queue_key((merged, ids[k])):
-                    heappush(queue, (*m, i, merged, ids[k]))
-            if (h := left[i]) >= 0 and (m := queue_key((ids[h], merged))):
-                heappush(queue, (*m, h, ids[h], merged))
+                if (m := find((ids[i], ids[k]))) is not None:
+                    heappush(queue, (m, i, ids[i], ids[k]))
+            if (h := left[i]) >= 0 and (m := find((ids[h], ids[i]))) is not None:
+                heappush(queue, (m, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
 
@@ -99,8 +105,9 @@ def load(path: str) -> ByteBpe:
     for s, i in special.items():
         tokens[i] = s.encode()
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    merges = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
-    return ByteBpe(tokens, [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], merges, special)
+    ranks = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
+    merged = [vocab[a + b] for a, b in pairs]
+    return ByteBpe(tokens, [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], ranks, merged, special)
 
 
 def split_special(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None]]:
