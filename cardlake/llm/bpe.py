@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm import bytebpe, lexicon
-from cardlake.session import checkpoint_dir
+from cardlake.session import checkpoint_dir, cut
 
 #: entries of the lexicon, and bytes of its longest word
-LEXICON_SIZE = 262_144
+LEXICON_SIZE = 131_072
 WORD_BYTES = 48
 #: characters of a text handled at once, and of a slice of texts whose words are looked up together
 PIECE = 1 << 20
-SLICE = 1 << 24
+SLICE = 1 << 23
 #: distinct space-separated units a counting task holds before it passes its counts on
 HELD = 1 << 20
 
@@ -101,13 +102,22 @@ def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
 
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_SIZE) -> str:
-    """Name of the lexicon file of the ``size`` most frequent words of ``docs`` (ties:
-    smaller word), written to the shared folder and handed to every executor.  What comes
-    to the driver is bounded by ``size`` words of at most ``WORD_BYTES`` bytes."""
+    """Name of the lexicon file of the most frequent words of ``docs``, at most ``size``,
+    written to the shared folder and handed to every executor.  What comes to the driver
+    is bounded by ``size`` words of at most ``WORD_BYTES`` bytes."""
     spark, bpe = docs.sparkSession, bytebpe.load(path)
-    top = (word_counts(docs, path, text_col).where(F.octet_length("word") <= WORD_BYTES)
-           .orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"])
-    data = lexicon.build((w.encode(), bpe.merge(w.encode())) for w in top)
+    # words in classes of about equal frequency; whole classes are taken while they fit.
+    # A word that occurs once is not worth an entry
+    counts = cut(word_counts(docs, path, text_col).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1))
+                 .select("word", F.floor(F.log2("n") * 16).alias("class")))
+    room, lowest = size, None
+    for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 16 x 63 classes
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["class"]
+    top = counts.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word").toPandas()["word"]
+    data = lexicon.build((w.encode(), array("I", bpe.merge(w.encode())).tobytes()) for w in top)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(write_shared(spark, name, data))
     return name
@@ -130,8 +140,9 @@ class Encoder:
         words = list({w for ws in split.values() for w in ws})
         raw = [w.encode("utf-8", "replace") for w in words]
         numbers = self.lex.numbers(raw)
-        ids = {w: self.lex.ids_of(k).tobytes() if k >= 0 else np.array(self.bpe.merge(b), "<u4").tobytes()
-               for w, b, k in zip(words, raw, numbers.tolist(), strict=True)}
+        ids = dict(zip(words, self.lex.ids_of(numbers), strict=True))
+        for i in np.flatnonzero(numbers < 0).tolist():
+            ids[words[i]] = array("I", self.bpe.merge(raw[i])).tobytes()
         return {u: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for u, ws in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -8,6 +8,8 @@ looked up in lock-step: one vectorised arc search per byte position for all word
 
 from __future__ import annotations
 
+import mmap
+from array import array
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -15,22 +17,18 @@ import numpy as np
 MAGIC = 0x4C584931
 
 
-def build(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
-    """The file for (word, ids) entries with distinct, non-empty words, in any order."""
+def build(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
+    """The file for (word, ids) entries with distinct, non-empty words, in any order; ids as
+    little-endian unsigned 32-bit integers."""
     entries = sorted(entries)
-    register: dict[tuple, int] = {}
-    states: list[tuple[bool, list[tuple[int, int]]]] = []  # registered: final, arcs; targets come first
+    register: dict[tuple, int] = {}  # states by final mark and arcs, numbered as they come: targets first
     path: list[list] = [[False, []]]  # open states of the last word: final, arcs
     last = b""
 
     def close(depth: int) -> None:
         while len(path) - 1 > depth:
             final, arcs = path.pop()
-            key = (final, tuple(arcs))
-            state = register.get(key)
-            if state is None:
-                state = register[key] = len(states)
-                states.append((final, arcs))
+            state = register.setdefault((final, tuple(arcs)), len(register))
             path[-1][1].append((last[len(path) - 1], state))
 
     for word, _ in entries:
@@ -42,10 +40,10 @@ def build(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
         path[-1][0] = True
         last = word
     close(0)
-    states.append((path[0][0], path[0][1]))
     below: list[int] = []
-    keys, targets, outputs = [], [], []
-    for s, (final, arcs) in enumerate(states):
+    finals, keys, targets, outputs = array("I"), array("I"), array("I"), array("I")
+    for s, (final, arcs) in enumerate([*register, (path[0][0], tuple(path[0][1]))]):
+        finals.append(final)
         n = int(final)
         for label, target in arcs:
             keys.append(s << 8 | label)
@@ -53,11 +51,9 @@ def build(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
             outputs.append(n)
             n += below[target]
         below.append(n)
-    ids = [np.asarray(x, "<u4") for _, x in entries]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) if ids else np.zeros(1)
-    parts = [np.asarray(keys, "<u4"), np.asarray(targets, "<u4"), np.asarray(outputs, "<u4"),
-             np.asarray([f for f, _ in states], "<u4"), starts.astype("<u4"),
-             np.concatenate(ids) if ids else np.zeros(0, "<u4")]
+    starts = np.cumsum([0, *(len(x) // 4 for _, x in entries)])
+    parts = [np.asarray(x, "<u4") for x in (keys, targets, outputs, finals, starts)]
+    parts.append(np.frombuffer(b"".join(x for _, x in entries), "<u4"))
     header = np.asarray([MAGIC, *(len(p) for p in parts)], "<u4")
     return b"".join(p.tobytes() for p in (header, *parts))
 
@@ -66,12 +62,15 @@ class Lexicon:
     """Memory-mapped lexicon file."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, "<u4", "r")
+        with open(path, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        data = np.frombuffer(self.map, "<u4")
         if data[0] != MAGIC:
             raise ValueError(f"{path} is no lexicon file")
         cuts = np.cumsum([7, *map(int, data[1:7])])
         self.keys, self.targets, self.outputs, self.final, self.starts, self.ids = (
             data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        self.ids_at = 4 * int(cuts[-2])
 
     def numbers(self, words: Sequence[bytes]) -> np.ndarray:
         """Position of each word among the sorted entries, -1 if it is not in the lexicon."""
@@ -98,5 +97,8 @@ class Lexicon:
             live, state, number = live[~ended], state[~ended], number[~ended]
         return found
 
-    def ids_of(self, number: int) -> np.ndarray:
-        return self.ids[self.starts[number]:self.starts[number + 1]]
+    def ids_of(self, numbers: np.ndarray) -> list[bytes]:
+        """The ids of each entry, as they are in the file; anything for -1."""
+        ends = self.starts.astype(np.int64) * 4 + self.ids_at
+        at = np.clip(numbers, 0, max(0, len(ends) - 2))
+        return [self.map[a:b] for a, b in zip(ends[at].tolist(), ends[np.minimum(at + 1, len(ends) - 1)].tolist(), strict=True)]

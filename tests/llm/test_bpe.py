@@ -35,13 +35,14 @@ def test_lexicon_is_exact(scratch, n):
     entries = {w: [i, i + 1][: 1 + i % 2] for i, w in enumerate(words)}
     path = f"{scratch}/lex.bin"
     with open(path, "wb") as f:
-        f.write(lexicon.build(entries.items()))
+        f.write(lexicon.build((w, np.array(x, "<u4").tobytes()) for w, x in entries.items()))
     lex = lexicon.Lexicon(path)
     probes = words + random_words(3000, 2) + [b"", b"\xff", b"abc" * 30]
-    for w, k in zip(probes, lex.numbers(probes).tolist()):
+    numbers = lex.numbers(probes)
+    for w, k, ids in zip(probes, numbers.tolist(), lex.ids_of(numbers)):
         assert (k >= 0) == (w in entries)
         if k >= 0:
-            assert lex.ids_of(k).tolist() == entries[w]
+            assert np.frombuffer(ids, "<u4").tolist() == entries[w]
 
 
 def test_lexicon_is_minimal(scratch):
@@ -50,7 +51,7 @@ def test_lexicon_is_minimal(scratch):
     words = [bytes([a, b]) + b"tion" + s for a in b"xy" for b in range(97, 123) for s in (b"", b"s", b"al")]
     path = f"{scratch}/lex.bin"
     with open(path, "wb") as f:
-        f.write(lexicon.build((w, [0]) for w in words))
+        f.write(lexicon.build((w, bytes(4)) for w in words))
     lex = lexicon.Lexicon(path)
     assert len(lex.final) == 9  # start, 2 letters, t-i-o, after n, a, end
     assert lex.numbers(sorted(words)).tolist() == list(range(len(words)))
@@ -95,6 +96,14 @@ def test_broken_sequences_decode_like_the_library(spark, scratch):
         assert enc.decode(np.array(ids, "<u4").tobytes()) == library().decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("size, kept", [(100, {"often", " often", " twice"}), (2, {"often", " often"}), (1, set()), (0, set())])
+def test_lexicon_takes_whole_frequency_classes(spark, size, kept):
+    docs = spark.createDataFrame([("often often often twice",)] * 2 + [("often",), ("often",), ("once",)], "text string")
+    lex = bpe._mapped(bpe.compile_lexicon(docs, PATH, size=size))
+    words = ["often", " often", " twice", "once"]
+    assert {w for w, k in zip(words, lex.numbers([w.encode() for w in words])) if k >= 0} == kept
+
+
 def test_word_counts_cover_all_texts(spark):
     docs = spark.createDataFrame([("a b  a\nb a",), (None,), ("a b",)], "text string")
     got = {r.word: r.n for r in bpe.word_counts(docs, PATH).collect()}
