@@ -43,6 +43,8 @@ BLOCKS = 8
 PACK = 20_000
 #: windows fingerprinted at once
 SPAN = 65_536
+#: characters of the texts whose words are hashed together
+SLICE = 1 << 22
 
 _WORD = re.compile(r"\w+")
 
@@ -201,7 +203,7 @@ class ItemIndex:
 
     def scan(self, texts: list[str]) -> Iterator[list[tuple[int, float, int, int]]]:
         """The leaks of each text.  Words are hashed once per distinct run between spaces."""
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             runs = [t.split() for t in part]
             distinct = list(set().union(*runs))
             code = {u: i for i, u in enumerate(distinct)}

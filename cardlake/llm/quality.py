@@ -36,7 +36,7 @@ EPOCHS = 3
 #: updates: learning rate, its smoothing, and the two penalties
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
 #: characters of the texts whose features are made together
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 
@@ -129,7 +129,8 @@ def train(texts: list[str], labels: np.ndarray) -> np.ndarray:
     for part in slices(texts):
         r, f, v = features(part)
         at = np.searchsorted(r, np.arange(len(part) + 1))
-        made += [(f[a:b], v[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        f, v = f.astype(np.int32), v.astype(np.float32)
+        made += [(f[a:b].copy(), v[a:b].copy()) for a, b in zip(at[:-1], at[1:], strict=True)]
     for _ in range(EPOCHS):
         for (f, v), y in zip(made, labels, strict=True):
             state.update(f, v, y)
