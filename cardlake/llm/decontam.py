@@ -8,6 +8,11 @@ within ``RADIUS`` bits of a window only if some block differs by at most that bl
 radius, so the balls around the blocks find every item within the radius.  Complete
 distance and exact similarity then decide.
 
+Fingerprints tell the similarity only of shingles that occur once: a repeated shingle that
+differs in number moves many bits at a time.  So an item that repeats a shingle, and every
+item around a repeated shingle of a text, is compared by counts of shared shingles instead,
+whatever the distance.
+
 A window that shares no shingle with any item has similarity zero and is never hashed:
 only windows around shared shingles are, which is a small part of a corpus.
 
@@ -36,8 +41,8 @@ from cardlake.llm.simhash import segment_radii
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: largest Hamming distance of a candidate.  Windows of similarity 0.8 differ by 10 of 64
-#: bits on average, with a standard deviation of 3
+#: largest Hamming distance of a candidate.  Windows of similarity 0.8 whose shingles, and
+#: the item's, occur once differ by 10 of 64 bits on average, with a standard deviation of 3
 RADIUS = 20
 BLOCKS = 8
 PACK = 20_000
@@ -87,6 +92,8 @@ class SizeIndex:
 
     items: list[int] = field(default_factory=list)
     prints: np.ndarray = None
+    #: whether some item repeats a shingle
+    repeats: bool = False
     tables: list[tuple[int, list[np.ndarray]]] = field(default_factory=list)
 
     def build(self) -> None:
@@ -125,8 +132,13 @@ class ItemIndex:
         self.similarity = similarity
         self.ids: list[int] = []
         self.shingles: list[Counter] = []
+        #: distinct shingle hashes of each item and how often they occur
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
+        #: (number of shingles, place among the items of that number) of each item
+        self.place: list[tuple[int, int]] = []
         self.sizes: dict[tuple[int, int], SizeIndex] = {}
         owners: dict[int, dict[int, set[int]]] = {}
+        holders = defaultdict(list)
         prints = defaultdict(list)
         for item_id, text in items:
             words = words_of(text or "")
@@ -138,6 +150,11 @@ class ItemIndex:
             for x in h.tolist():
                 owners.setdefault(k, {}).setdefault(x, set()).add(n)
             size = self.sizes.setdefault((k, n), SizeIndex())
+            distinct, counts = np.unique(h, return_counts=True)
+            holders[k].append((distinct, np.full(len(distinct), len(self.ids), np.int32)))
+            size.repeats |= len(distinct) < n
+            self.counts.append((distinct, counts))
+            self.place.append((n, len(size.items)))
             size.items.append(len(self.ids))
             prints[k, n].append(window_fingerprints(h, n)[0])
             self.ids.append(item_id)
@@ -152,6 +169,12 @@ class ItemIndex:
             low = np.zeros(1 << 22, bool)
             low[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.known[k] = keys, low, [tuple(sorted(own[x])) for x in keys.tolist()]
+        #: by shingle length: the items of each of the sorted shingles, as (first, items)
+        self.holders = {}
+        for k, parts in holders.items():
+            keys, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.holders[k] = np.append(np.searchsorted(keys[order], self.known[k][0]), len(order)), own[order]
 
     def _windows(self, k: int, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By item size: spans [lo, hi) of window starts that reach a shared shingle."""
@@ -171,6 +194,42 @@ class ItemIndex:
                     own.append((lo, hi))
         return spans
 
+    def _counted(self, k: int, n: int, m: int, part: np.ndarray, again: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, windows) of the items of ``n`` shingles that windows of ``m`` of ``part``
+        resemble enough, by counts of shared shingles: of all items, or without ``again``
+        of those that repeat a shingle."""
+        keys, (begin, holder) = self.known[k][0], self.holders[k]
+        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+        which, often = np.unique(at[keys[at] == part], return_counts=True)
+        width = begin[which + 1] - begin[which]
+        to = np.repeat(begin[which] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        items, to = np.unique(holder[to], return_inverse=True)
+        # a window that is similar enough shares this many shingles, and the span no fewer
+        need = self.similarity * (n + m) / (1 + self.similarity) - 1e-9
+        for i in items[np.bincount(to, np.repeat(often, width), len(items)) >= need].tolist():
+            hashes, counts = self.counts[i]
+            if self.place[i][0] != n or not (again or len(hashes) < n):
+                continue
+            shared = np.zeros(len(part) - m + 1, np.int64)
+            for x, c in zip(hashes, counts, strict=True):
+                ones = np.append(0, np.cumsum(part == x))
+                shared += np.minimum(c, ones[m:] - ones[:-m])
+            if len(good := np.flatnonzero(shared >= need)):
+                yield self.place[i][1], good
+
+    def _near(self, k: int, n: int, m: int, part: np.ndarray) -> list[tuple[int, int, int]]:
+        """(distance, window, place) of the items of ``n`` shingles that windows of ``m`` of
+        ``part`` may leak, nearest first."""
+        size, prints = self.sizes[k, n], window_fingerprints(part, m)
+        again = len(np.unique(part)) < len(part)
+        near = [] if again else list(size.candidates(prints))
+        if not (again or size.repeats):
+            return near
+        for i, good in self._counted(k, n, m, part, again):
+            near = [x for x in near if x[2] != i]
+            near += zip(np.bitwise_count(prints[good] ^ size.prints[i]).tolist(), good.tolist(), [i] * len(good), strict=True)
+        return sorted(near)
+
     def leaks(self, text: str, word_hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of each item that the text leaks, at its
         window of the least distance (then the first) that is similar enough."""
@@ -188,8 +247,7 @@ class ItemIndex:
                 for lo, hi in spans:
                     for a in range(lo, hi, SPAN):
                         b = min(hi, a + SPAN)
-                        prints = window_fingerprints(h[a:b - 1 + m], m)
-                        for _, w, i in size.candidates(prints):
+                        for _, w, i in self._near(k, n, m, h[a:b - 1 + m]):
                             item = size.items[i]
                             if item in done:
                                 continue

@@ -113,3 +113,37 @@ def test_query_matches_brute_force(spark):
     df = queries.QUERIES["op7_decontam"](spark, SF_SMALL)
     assert df.columns == ["doc_id", "item_id", "similarity", "first_word", "n_words"]
     assert {(r.doc_id, r.item_id) for r in df.collect()} == want and want
+
+
+def repeated(seed=3):
+    """Items and windows at the limit where the difference lies in a repeated shingle."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7)))
+    items, docs = [], []
+    for i in range(30):
+        a, b, pad = ([word() for _ in range(r.randint(20, 40))] for _ in range(3))
+        # a run of one word is shorter in the text than in the item, or the other way round
+        run = r.randint(8, 14)
+        long, short = a + ["ha"] * run + b, a + ["ha"] * r.randint(1, run - 1) + b
+        items += [(2 * i, " ".join(long)), (2 * i + 1, " ".join(short))]
+        docs += [" ".join(pad + short + pad), " ".join(pad + long + pad), " ".join(long), " ".join(short)]
+        # some windows of the text repeat a passage that the item has once
+        docs.append(" ".join(pad + a + a[:10] + b + pad))
+        docs.append(" ".join(pad + a + a[:10] * 2 + a[10:] + b))
+    return docs, items
+
+
+def test_repeated_shingles_match_brute_force():
+    docs, items = repeated()
+    want = brute(docs, items)
+    index = decontam.ItemIndex(items)
+    got = [(r, x) for r, leaks in enumerate(index.scan(docs)) for x in leaks]
+    assert {(r, x[0]) for r, x in got} == want and len(got) == len(want) > 100
+    far = []
+    for r, (item, similarity, first, n) in got:
+        words = decontam.words_of(docs[r])
+        fps = [decontam.window_fingerprints(decontam.shingle_hashes(np.array([decontam._word_hash(w) for w in ws], np.uint64), 5), len(ws) - 4)[0]
+               for ws in (words[first:first + n], decontam.words_of(dict(items)[item]))]
+        far.append(int(np.bitwise_count(fps[0] ^ fps[1])))
+        assert 0.8 <= similarity <= 1
+    assert max(far) > decontam.RADIUS
