@@ -20,8 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are on over 2 % of their source's pages."""
-    return linededup.drop_boilerplate(docs, "source", "text", ratio=0.02, min_pages=3).withColumn(
+    """Documents without the lines that are on over 2 % of their source's pages, where near
+    copies count once: the next stage needs them whole to keep one."""
+    return linededup.drop_boilerplate(docs, "source", "text", ratio=0.02, min_pages=3, near=0.8).withColumn(
         "n_chars", F.length("text").cast("long"))
 
 

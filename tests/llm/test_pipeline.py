@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -55,6 +57,37 @@ def test_stages_take_nulls(spark):
             assert sum(r.doc_id is None for r in out) == 2, name
 
 
+def near_copies(spark, docs):
+    """A source of 400 pages, 12 of them near copies, and one small source with 3 near copies
+    of another text; 20 pages of the first have a line in common.  (rows, ids of each family)"""
+    r = random.Random(5)
+    line = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8))) for _ in range(n))
+    rows, own = [], {"big": [], "small": []}
+    for source, total, near in (("big", 400, 12), ("small", 10, 3)):
+        base = [line(30) for _ in range(60)]
+        for i in range(total):
+            if i % 10 == 7 and len(own[source]) < near or i >= total - near + len(own[source]):
+                own[source].append(len(rows))
+                text = list(base)
+                text[r.randrange(60)] += " edit" + str(i)
+            else:
+                text = [line(8) for _ in range(5)] + (["Share this page"] if source == "big" and i % 20 == 3 else [])
+            rows.append((len(rows), "\n".join(text), "en", source, 0))
+    return spark.createDataFrame(rows, docs.schema), rows, own
+
+
+def test_a_full_representative_of_near_copies_survives(spark):
+    docs, rows, own = near_copies(spark, table(spark, SF_SMALL, "documents"))
+    assert len(own["big"]) == 12 and len(own["small"]) == 3
+    cleaned = corpus_pipeline.line_dedup(spark, docs, SF_SMALL)
+    text = {r.doc_id: r.text for r in cleaned.collect()}
+    assert all(text[i] == t.replace("\nShare this page", "") for i, t, *_ in rows)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, cleaned, SF_SMALL).collect()}
+    for family in own.values():
+        assert [i for i in family if i in kept] == family[:1] and kept[family[0]] == rows[family[0]][1]
+    assert len(kept) == len(rows) - 11 - 2
+
+
 def test_registered():
     import __spark_entry__ as E
 
