@@ -37,9 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids (little-endian unsigned 32-bit) and number of tokens."""
-    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_col=None)
-    return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+    """Documents with their token ids (little-endian unsigned 32-bit) and number of tokens.
+    The ids are decoded again; a document that they do not give back fails the stage."""
+    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    same = F.col("decoded_text") == F.coalesce("text", F.lit(""))
+    wrong = F.raise_error(F.concat(F.lit("token ids do not decode back: document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    n = (F.octet_length("token_ids") / 4).cast("long")
+    return out.withColumn("n_tokens", F.when(same, n).otherwise(wrong.cast("long"))).drop("decoded_text")
 
 
 STAGES = [

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cardlake.llm import quality, queries
+from cardlake.llm import bpe, quality, queries
 from cardlake.session import table
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_native import brute_lines
@@ -88,6 +90,15 @@ def test_a_full_representative_of_near_copies_survives(spark):
     assert len(kept) == len(rows) - 11 - 2
 
 
+def test_encode_notices_what_does_not_decode_back(spark, monkeypatch):
+    docs = table(spark, SF_SMALL, "documents").limit(3)
+    real = bpe.encode_decode
+    spoiled = F.when(F.col("doc_id") == docs.first().doc_id, "x").otherwise(F.col("decoded_text"))
+    monkeypatch.setattr(bpe, "encode_decode", lambda *a, **k: real(*a, **k).withColumn("decoded_text", spoiled))
+    with pytest.raises(Exception, match="do not decode back"):
+        corpus_pipeline.encode(spark, docs, SF_SMALL).collect()
+
+
 def test_registered():
     import __spark_entry__ as E
 
