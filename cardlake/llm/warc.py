@@ -176,7 +176,8 @@ def assemble(numbers: list[int], blocks: list[bytes], total: int | None) -> tupl
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives (gzip or plain) in ``path``: record_id, page_id,
+    """The records of all archives (gzip or plain, of any name that does not start with ``_``
+    or ``.``) in ``path``: record_id, page_id,
     record_type, target_uri, payload_digest (as the record states it), refers_to,
     ``payload`` and ``problem``.
 
@@ -227,7 +228,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     parsed = files.mapInArrow(parse, ", ".join(f"{n} {spelled[t]}" for n, t in fields))
     shown = ["record_id", "page_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload", "problem"]
 

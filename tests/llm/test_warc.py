@@ -104,6 +104,16 @@ def test_other_archives(spark, scratch):
         list(warc.parse_archive(io.BytesIO(rec[0][:-3])))
 
 
+def test_archives_of_any_name(spark, scratch):
+    os.makedirs(f"{scratch}/w")
+    for i, name in enumerate(["crawl-00001.warc.gz", "crawl-00002.warc", "part-0", "_started", ".part-0.crc"]):
+        data = b"".join(r + b"\r\n\r\n" for r in warc.page_records(i, "u", f"abc{i}", "d", None, f"urn:{i}", "2024-01-01T00:00:00Z"))
+        with open(f"{scratch}/w/{name}", "wb") as f:
+            f.write(gzip.compress(data) if name.endswith(".gz") else data)
+    got = warc.read_archives(spark, f"{scratch}/w").collect()
+    assert sorted((r.page_id, r.payload) for r in got) == [(i, b"abc%d" % i) for i in range(3)]
+
+
 def test_empty_table(spark, scratch):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{scratch}/w")
     assert warc.payload_table(warc.read_archives(spark, f"{scratch}/w")).count() == 0
