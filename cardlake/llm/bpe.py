@@ -2,18 +2,18 @@
 
 One job counts the words of all texts and keeps the most frequent ones; the driver merges
 those once and compiles them into a transducer file in the shared folder, which every
-task memory-maps.  A second job encodes: each distinct word of a slice of texts is looked
-up in the transducer once, words it lacks are merged exactly, and every text is put
-together from its words' ids.  The lexicon changes the speed only, never the ids.
+task memory-maps.  A second job encodes: each distinct word of a slice of texts that its
+task does not remember is looked up in the transducer, the words it lacks are merged
+exactly, all together, and every text is put together from its words' ids.  The lexicon
+changes the speed only, never the ids.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,11 +28,15 @@ from cardlake.session import checkpoint_dir, cut
 #: entries of the lexicon, and bytes of its longest word
 LEXICON_SIZE = 131_072
 WORD_BYTES = 48
+#: hash slots in which the last class of frequency is taken
+SLOTS = 1_024
 #: characters of a text handled at once, and of a slice of texts whose words are looked up together
 PIECE = 1 << 20
-SLICE = 1 << 23
+SLICE = 1 << 21
 #: distinct space-separated units a counting task holds before it passes its counts on
 HELD = 1 << 20
+#: distinct units whose ids an encoding task remembers from slice to slice
+KNOWN = 1 << 18
 
 #: white space before a space: the only place where splitting at single spaces is not exact
 RUN = re.compile(r"\s ")
@@ -67,7 +71,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             words: Counter[str] = Counter()
             for counts, space in ((plain, ""), (spaced, " ")):
                 for unit, n in counts.items():
-                    for w in bytebpe.PATTERN.findall(space + unit):
+                    for w in bytebpe.split_words(space + unit):
                         words[w] += n
                 counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
@@ -106,18 +110,27 @@ def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: in
     written to the shared folder and handed to every executor.  What comes to the driver
     is bounded by ``size`` words of at most ``WORD_BYTES`` bytes."""
     spark, bpe = docs.sparkSession, bytebpe.load(path)
-    # words in classes of about equal frequency; whole classes are taken while they fit.
-    # A word that occurs once is not worth an entry
+    # words in classes of about equal frequency, the more frequent classes whole and the last
+    # one in slots by the words' hash, as far as both fit.  A word that occurs once is not worth an entry
     counts = cut(word_counts(docs, path, text_col).where((F.octet_length("word") <= WORD_BYTES) & (F.col("n") > 1))
-                 .select("word", F.floor(F.log2("n") * 16).alias("class")))
-    room, lowest = size, None
+                 .select("word", F.floor(F.log2("n") * 16).alias("class"), F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")))
+    room, last = size, None
     for r in counts.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 16 x 63 classes
-        room -= r["count"]
-        if room < 0:
+        if r["count"] > room:
+            last = r["class"]
             break
-        lowest = r["class"]
-    top = counts.where(F.lit(False) if lowest is None else F.col("class") >= lowest).select("word").toPandas()["word"]
-    data = lexicon.build((w.encode(), array("I", bpe.merge(w.encode())).tobytes()) for w in top)
+        room -= r["count"]
+    whole = F.col("class") > F.lit(-1 if last is None else last)
+    if last is not None:
+        full = SLOTS
+        for r in counts.where(F.col("class") == last).groupBy("slot").count().orderBy("slot").collect():  # at most SLOTS
+            room -= r["count"]
+            if room < 0:
+                full = r["slot"]
+                break
+        whole |= (F.col("class") == last) & (F.col("slot") < full)
+    top = [w.encode() for w in counts.where(whole).select("word").toPandas()["word"]]
+    data = lexicon.build(zip(top, bpe.merge_many(top), strict=True))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(write_shared(spark, name, data))
     return name
@@ -133,40 +146,48 @@ class Encoder:
 
     def __init__(self, bpe: bytebpe.ByteBpe, lex: lexicon.Lexicon):
         self.bpe, self.lex = bpe, lex
-
-    def _unit_ids(self, found: set[str], space: str) -> dict[str, bytes]:
-        """Ids of each distinct unit, from those of its words."""
-        split = {u: bytebpe.PATTERN.findall(space + u) for u in found}
-        words = list({w for ws in split.values() for w in ws})
+        #: ids of recent units, as they stand and after a space
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def _learn(self, units: Iterable[str], known: dict[str, bytes], space: str) -> None:
+        """Remember the ids of units, from those of their words."""
+        plain, split = [], {}
+        for u in units:
+            if u.isalpha():
+                plain.append(u)
+            else:
+                split[u] = bytebpe.split_words(space + u)
+        words = [space + u for u in plain]
+        words += {w for ws in split.values() for w in ws}
         raw = [w.encode("utf-8", "replace") for w in words]
         numbers = self.lex.numbers(raw)
-        ids = dict(zip(words, self.lex.ids_of(numbers), strict=True))
-        for i in np.flatnonzero(numbers < 0).tolist():
-            ids[words[i]] = array("I", self.bpe.merge(raw[i])).tobytes()
-        return {u: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for u, ws in split.items()}
+        ids = self.lex.ids_of(numbers)
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        for i, merged in zip(unseen, self.bpe.merge_many([raw[i] for i in unseen]), strict=True):
+            ids[i] = merged
+        known.update(zip(plain, ids))
+        of = dict(zip(words[len(plain):], ids[len(plain):], strict=True)).__getitem__
+        known.update((u, b"".join(map(of, ws))) for u, ws in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for t in texts:
-            for piece, i in _pieces(t, self.bpe.special):
-                if i is None:
-                    first, rest = units(piece)
-                    plain.update(first)
-                    spaced.update(rest)
-        ids, ids_spaced = self._unit_ids(plain, ""), self._unit_ids(spaced, " ")
-        out = []
+        parts: list[list[tuple[list[str], list[str]] | bytes]] = []
+        found: tuple[set[str], set[str]] = set(), set()
         for t in texts:
-            parts: list[bytes] = []
+            own: list[tuple[list[str], list[str]] | bytes] = []
             for piece, i in _pieces(t, self.bpe.special):
                 if i is not None:
-                    parts.append(i.to_bytes(4, "little"))
-                else:
-                    first, rest = units(piece)
-                    parts.append(b"".join(map(ids.__getitem__, first)))
-                    parts.append(b"".join(map(ids_spaced.__getitem__, rest)))
-            out.append(b"".join(parts))
-        return out
+                    own.append(i.to_bytes(4, "little"))
+                    continue
+                own.append(units(piece))
+                found[0].update(own[-1][0])
+                found[1].update(own[-1][1])
+            parts.append(own)
+        for known, new, space in zip(self.known, found, ("", " "), strict=True):
+            if len(known) > KNOWN:
+                known.clear()
+            self._learn(new.difference(known), known, space)
+        first, rest = (known.__getitem__ for known in self.known)
+        return [b"".join(p if isinstance(p, bytes) else b"".join((*map(first, p[0]), *map(rest, p[1]))) for p in own) for own in parts]
 
     def decode(self, ids: bytes) -> str:
         """The bytes of all tokens, special ones included; broken sequences become U+FFFD."""

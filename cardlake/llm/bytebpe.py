@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import regex
 
 #: fixed value: the public split pattern of byte-level vocabularies
@@ -40,6 +41,68 @@ class ByteBpe:
     ranks: dict[tuple[int, int], int]
     merged: list[int]
     special: dict[str, int]
+    #: the pairs as sorted keys (left id << 32 | right id) and their ranks; for many words at once
+    pair_keys: np.ndarray
+    pair_ranks: np.ndarray
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, one past the last rank where there is none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.merged))
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as ``merge`` gives them, in little-endian unsigned 32-bit
+        integers.  All words are merged in lock-step: each round merges, in every word that
+        still has a pair, its leftmost pair of the lowest rank."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= 64]
+        for i, w in enumerate(words):
+            if len(w) > 64:
+                out[i] = np.array(self.merge(w), "<u4").tobytes()
+        if not short or not self.merged:
+            for i in short:
+                out[i] = np.array([self.byte_ids[b] for b in words[i]], "<u4").tobytes()
+            return out
+        none = len(self.merged)
+        merged = np.array(self.merged, np.int64)
+        place = np.array(short)
+        size = np.array([len(words[i]) for i in short])
+        ids = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
+        start = np.cumsum(size) - size
+        rank = np.append(self._ranks(ids[:-1], ids[1:]), none)
+        rank[start[1:] - 1] = none
+        while len(place):
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), start)
+            live = best >> 32 < none
+            if not live.all():
+                whole = np.repeat(~live, size)
+                flat, ends = ids[whole].astype("<u4").tobytes(), np.cumsum(size[~live]) * 4
+                for i, a, b in zip(place[~live].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[i] = flat[a:b]
+                moved = np.cumsum(whole)
+                at = (best[live] & 0xFFFFFFFF)
+                at -= moved[at]
+                best = best[live] >> 32
+                ids, rank, place, size = ids[~whole], rank[~whole], place[live], size[live]
+                start = np.cumsum(size) - size
+                if not len(place):
+                    break
+            else:
+                at, best = best & 0xFFFFFFFF, best >> 32
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = merged[best]
+            ids, rank = ids[keep], rank[keep]
+            size = size - 1
+            start = np.cumsum(size) - size
+            at -= np.arange(len(at))
+            rank[at] = none
+            right = at + 1 < start + size
+            rank[at[right]] = self._ranks(ids[at[right]], ids[at[right] + 1])
+            left = at > start
+            rank[at[left] - 1] = self._ranks(ids[at[left] - 1], ids[at[left]])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: adjacent pairs merged in rank order, leftmost first."""
@@ -107,7 +170,19 @@ def load(path: str) -> ByteBpe:
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     ranks = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
     merged = [vocab[a + b] for a, b in pairs]
-    return ByteBpe(tokens, [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], ranks, merged, special)
+    order = sorted(ranks)
+    keys = np.array([a << 32 | b for a, b in order], np.int64)
+    return ByteBpe(tokens, [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])], ranks, merged, special,
+                   keys, np.array([ranks[p] for p in order], np.int64))
+
+
+def split_words(text: str) -> list[str]:
+    """The words of the split pattern.  Letters with at most one space in front are one word,
+    and so is a run of closing signs behind them."""
+    core = text.rstrip(",.;:!?")
+    if core.isalpha() or (core[:1] == " " and core[1:].isalpha()):
+        return [core] if len(core) == len(text) else [core, text[len(core):]]
+    return PATTERN.findall(text)
 
 
 def split_special(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None]]:

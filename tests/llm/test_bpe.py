@@ -96,12 +96,36 @@ def test_broken_sequences_decode_like_the_library(spark, scratch):
         assert enc.decode(np.array(ids, "<u4").tobytes()) == library().decode(ids, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("size, kept", [(100, {"often", " often", " twice"}), (2, {"often", " often"}), (1, set()), (0, set())])
-def test_lexicon_takes_whole_frequency_classes(spark, size, kept):
+@pytest.mark.parametrize("size, kept", [(100, [{"often", " often", " twice"}]), (2, [{"often", " often"}]), (1, [{"often"}, {" often"}]), (0, [set()])])
+def test_lexicon_takes_the_most_frequent_words(spark, size, kept):
     docs = spark.createDataFrame([("often often often twice",)] * 2 + [("often",), ("often",), ("once",)], "text string")
     lex = bpe._mapped(bpe.compile_lexicon(docs, PATH, size=size))
     words = ["often", " often", " twice", "once"]
-    assert {w for w, k in zip(words, lex.numbers([w.encode() for w in words])) if k >= 0} == kept
+    assert {w for w, k in zip(words, lex.numbers([w.encode() for w in words])) if k >= 0} in kept
+
+
+def test_lexicon_fills_its_last_class(spark):
+    """One class of 5,000 equally frequent words, of which only some fit."""
+    docs = spark.createDataFrame([(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(5000)),)] * 2, "text string")
+    for size in (100, 4000):
+        n = len(bpe._mapped(bpe.compile_lexicon(docs, PATH, size=size)).starts) - 1
+        assert size - 40 <= n <= size
+
+
+def test_merging_together_equals_merging_alone():
+    vocab, r = bytebpe.load(PATH), random.Random(4)
+    words = [bytes(r.choices("theaion éß日".encode() + bytes(range(256)) * (i % 2), k=r.randint(1, 80))) for i in range(3000)] + [b"", b"a", b"a" * 500]
+    assert vocab.merge_many(words) == [np.array(vocab.merge(w), "<u4").tobytes() for w in words]
+    assert vocab.merge_many([]) == []
+
+
+def test_word_split_short_cut_is_the_pattern():
+    """Over all code points: alone, after a space, between letters and before closing signs."""
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        for t in (c, " " + c, f"a{c}b", f" a{c}.,"):
+            assert bytebpe.split_words(t) == bytebpe.PATTERN.findall(t), hex(ord(c))
+    for t in ("", " ", ".", " .", "it's", "it's.", "a..", "a b.", "  a", "a.!b", "\n.", "x1."):
+        assert bytebpe.split_words(t) == bytebpe.PATTERN.findall(t), t
 
 
 def test_word_counts_cover_all_texts(spark):
