@@ -16,7 +16,7 @@ whatever the distance.
 A window that shares no shingle with any item has similarity zero and is never hashed:
 only windows around shared shingles are, which is a small part of a corpus.
 
-The index of up to ``PACK`` items is broadcast; more items take further passes over the
+The index of up to ``PACK`` items, of about ``PACK_BYTES`` at most, is broadcast; more items take further passes over the
 texts, so what a task holds does not grow with the benchmark.  Texts are scanned in place:
 no shuffle, no group.
 """
@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -34,9 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from xxhash import xxh64_intdigest
 
-from cardlake.llm.quality import slices
 from cardlake.llm.simhash import segment_radii
 
 SHINGLE = 5
@@ -45,12 +44,17 @@ SIMILARITY = 0.8
 #: the item's, occur once differ by 10 of 64 bits on average, with a standard deviation of 3
 RADIUS = 20
 BLOCKS = 8
+#: items of one pass, and about how many bytes of them
 PACK = 20_000
+PACK_BYTES = 1 << 24
 #: windows fingerprinted at once
 SPAN = 65_536
-#: characters of the texts whose words are hashed together
-SLICE = 1 << 22
+#: characters hashed at once
+SLICE = 1 << 18
+#: fixed at random, odd
+BASE = 0x9E6C63D0876A9A35
 
+_SPACE = re.compile(r"\s")
 _WORD = re.compile(r"\w+")
 
 
@@ -58,8 +62,50 @@ def words_of(text: str) -> list[str]:
     return [w for u in text.split() for w in _WORD.findall(u.lower())]
 
 
-def _word_hash(word: str) -> int:
-    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    """A random number for every code point, zero for those that are no word characters."""
+    word = np.fromiter((chr(c).isalnum() or c == 0x5F for c in range(0x110000)), bool, 0x110000)
+    return np.where(word, np.random.default_rng(5).integers(1, 1 << 64, 0x110000, np.uint64), np.uint64(0))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number modulo 2 ** 64, and of its inverse."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def _hashed(text: str) -> np.ndarray:
+    code = _codes()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    n = len(code)
+    up, down = _powers(max(SLICE, 1 << n.bit_length()))
+    inner = np.zeros(n + 2, bool)
+    inner[1:-1] = code != 0
+    edges = np.flatnonzero(inner[1:] != inner[:-1])  # a word's first place, its end, the next one's, ...
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(code * up[:n], out=sums[1:])
+    first, end = edges[::2], edges[1::2]
+    h = (sums[end] - sums[first]) * down[first]
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each of ``words_of(text)``, made for all characters of a slice at once: the
+    sum of the characters' numbers, each times a power of its place in the word."""
+    if len(text) <= SLICE:
+        return _hashed(text)
+    parts, start = [], 0
+    while start < len(text):
+        m = _SPACE.search(text, start + SLICE)
+        end = m.start() if m else len(text)
+        parts.append(_hashed(text[start:end]))
+        start = end
+    return np.concatenate(parts)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -146,7 +192,7 @@ class ItemIndex:
                 continue
             k = min(shingle, len(words))
             n = len(words) - k + 1
-            h = shingle_hashes(np.array([_word_hash(w) for w in words], np.uint64), k)
+            h = shingle_hashes(word_hashes(text), k)
             for x in h.tolist():
                 owners.setdefault(k, {}).setdefault(x, set()).add(n)
             size = self.sizes.setdefault((k, n), SizeIndex())
@@ -259,28 +305,16 @@ class ItemIndex:
                                 out.append((self.ids[item], s, start, m + k - 1))
         return out
 
-    def scan(self, texts: list[str]) -> Iterator[list[tuple[int, float, int, int]]]:
-        """The leaks of each text.  Words are hashed once per distinct run between spaces."""
-        for part in slices(texts, SLICE):
-            runs = [t.split() for t in part]
-            distinct = list(set().union(*runs))
-            code = {u: i for i, u in enumerate(distinct)}
-            own = [[_word_hash(w) for w in _WORD.findall(u.lower())] for u in distinct]
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.fromiter((x for ws in own for x in ws), np.uint64, int(size.sum()))
-            first = np.cumsum(size) - size
-            for t, run in zip(part, runs, strict=True):
-                ids = np.fromiter(map(code.__getitem__, run), np.int64, len(run))
-                n = size[ids]
-                at = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                yield self.leaks(t, flat[at])
+    def scan(self, texts: Iterable[str]) -> Iterator[list[tuple[int, float, int, int]]]:
+        """The leaks of each text."""
+        return (self.leaks(t, word_hashes(t)) for t in texts)
 
 
 def _packs(benchmark: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> Iterator[ItemIndex]:
-    """Indexes of the distinct items, ``PACK`` at a time, in the order of their hash."""
+    """Indexes of the distinct items, dealt to packs by their hash."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    n = items.count()
-    packs = max(1, -(-n // PACK))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    packs = max(1, -(-n // PACK), -(-size // PACK_BYTES))
     for k in range(packs):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(packs)) == k) if packs > 1 else items
         yield ItemIndex(sorted(((r.id, r.text) for r in own.collect()), key=lambda x: (x[0] is None, x[0], x[1])), shingle, similarity)
@@ -306,7 +340,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = list(shared.value.scan([t.as_py() or "" for t in b.column("text")]))
+                got = list(shared.value.scan(t.as_py() or "" for t in b.column("text")))
                 flat = [x for g in got for x in g]
                 if flat:
                     at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
@@ -328,7 +362,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                leaks = shared.value.scan([t.as_py() or "" for t in b.column(at)])
+                leaks = shared.value.scan(t.as_py() or "" for t in b.column(at))
                 yield b.filter(pa.array([not x for x in leaks], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ weights, whose size is that of the hash space.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,7 +80,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r[order], f[order], v[order]
 
 
-def slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
+def slices(texts: Iterable[str], size: int = SLICE) -> Iterator[list[str]]:
     """Consecutive texts of about ``size`` characters together, at least one each."""
     part, n = [], 0
     for t in texts:

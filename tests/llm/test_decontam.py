@@ -142,8 +142,31 @@ def test_repeated_shingles_match_brute_force():
     far = []
     for r, (item, similarity, first, n) in got:
         words = decontam.words_of(docs[r])
-        fps = [decontam.window_fingerprints(decontam.shingle_hashes(np.array([decontam._word_hash(w) for w in ws], np.uint64), 5), len(ws) - 4)[0]
+        fps = [decontam.window_fingerprints(decontam.shingle_hashes(decontam.word_hashes(" ".join(ws)), 5), len(ws) - 4)[0]
                for ws in (words[first:first + n], decontam.words_of(dict(items)[item]))]
         far.append(int(np.bitwise_count(fps[0] ^ fps[1])))
         assert 0.8 <= similarity <= 1
     assert max(far) > decontam.RADIUS
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    """One hash a word, equal for equal words wherever they stand, at any slice size."""
+    r = random.Random(8)
+    bits = ["a", "ab", "AB", "ba", "É", "é", "ΑΣ", "ας", "ασ", "İ", "_", "9", "٣", "日本", "\U0001f600", "'", "-", " ", "\n", "\u00a0", "\x1c", "\u0307"]
+    texts = ["", " ", "x", "ΑΣ'Α ΑΣ' Σ"] + ["".join(r.choices(bits, k=r.randint(1, 80))) for _ in range(400)]
+    seen, back = {}, {}
+    for size in (1 << 18, 5):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        for t in texts:
+            words, hashes = decontam.words_of(t), decontam.word_hashes(t).tolist()
+            assert len(words) == len(hashes), t
+            for w, h in zip(words, hashes, strict=True):
+                assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
+def test_items_are_packed_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PACK_BYTES", 400)
+    items = spark.createDataFrame([(i, f"item number {i} has its own nine words here {i}") for i in range(40)], "item_id int, text string")
+    assert len(list(decontam._packs(items, "item_id", "text", 5, 0.8))) == 5
+    docs = spark.createDataFrame([(7, "so item number 7 has its own nine words here 7 it says")], "doc_id int, text string")
+    assert [r.item_id for r in decontam.find_leaks(docs, items).collect()] == [7]
