@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from cardlake.llm import bytebpe, lexicon
+from cardlake.llm.schemas import extended
 from cardlake.session import checkpoint_dir, cut
 
 #: entries of the lexicon, and bytes of its longest word
@@ -226,6 +228,4 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
                 lo += len(texts)
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-                       + [f"`{ids_col}` binary"] + [f"`{decoded_col}` string"] * bool(decoded_col))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, (ids_col, BinaryType()), *([(decoded_col, StringType())] if decoded_col else [])))

@@ -35,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType
 
+from cardlake.llm.schemas import extended
 from cardlake.llm.simhash import segment_radii
 
 SHINGLE = 5
@@ -331,8 +333,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     give rows each, repeated items (same id and text) count once.  Other columns are
     ignored; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, item {item_type}, similarity double, first_word bigint, n_words bigint"
+    schema = extended(rows.select("id").schema, ("item", benchmark.schema[item_col].dataType), ("similarity", DoubleType()),
+                      ("first_word", LongType()), ("n_words", LongType()))
     names, kind = ["id", "item", "similarity", "first_word", "n_words"], to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for index in _packs(benchmark, item_col, item_text_col, shingle, similarity):

@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with
 follow-the-regularised-leader (FTRL-proximal) updates and scored as sparse dot products.
 
-Words are the runs between white space.  A text's features are its word unigrams and
+Words are the runs between white space, long runs in pieces.  A text's features are its word unigrams and
 bigrams and those of the words' shapes (letters by case, digits, signs as they are, a mark
 for a word that repeats the one before); each family is hashed into the weight vector, and
 a feature's value is the square root of its share of the family.
@@ -23,8 +23,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
+from cardlake.llm.schemas import extended
 from cardlake.session import cut
 
 #: size of the weight vector; the last weight is the bias
@@ -32,19 +35,35 @@ DIM = 1 << 18
 #: bound of the labelled ids learnt from, and how many of them make a shard
 SAMPLE = 24_576
 SHARD_ROWS = 4_096
+#: texts learnt from of one id
+TEXTS = 4
 EPOCHS = 3
 #: updates: learning rate, its smoothing, and the two penalties
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 0.1
 #: characters of the texts whose features are made together
 SLICE = 1 << 20
 
+#: a longer run between white space (a line of a script without spaces, say) is cut into words of this size
+LONGEST = 64
+
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
+_SAME = re.compile(r"((.)\2{3})\2+", re.S)
+_LONG = re.compile(rf"\S{{{LONGEST + 1}}}")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs between white space, long ones in pieces: every character is in some word."""
+    words = text.split()
+    if _LONG.search(text):
+        words = [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
 def shape(word: str) -> str:
-    """``Word,`` gives ``Aa,``, ``WORD!!`` gives ``AA!!``, ``x12`` gives ``a0``."""
-    return "".join(("0" if t[0].isdigit() else "a" if t.islower() else "AA" if len(t) > 1 and t.isupper() else "Aa") if t[0].isalnum() else t[:4]
-                   for t in _TOKEN.findall(word[:64]))
+    """``Word,`` gives ``Aa,``, ``WORD!!`` gives ``AA!!``, ``x12`` gives ``a0``; a sign stands at most
+    four times in a row."""
+    return "".join(("0" if t[0].isdigit() else "a" if t.islower() else "AA" if len(t) > 1 and t.isupper() else "Aa") if t[0].isalnum() else _SAME.sub(r"\1", t)
+                   for t in _TOKEN.findall(word))
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -55,7 +74,7 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, slot, value) of all features of the texts, ordered by row; the bias included."""
-    words = [t.split() for t in texts]
+    words = [words_of(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     distinct = list(set().union(*words)) if words else []
     code = {w: i for i, w in enumerate(distinct)}
@@ -142,17 +161,34 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def lowest_ids(rows: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows of (id, ...), one an id, whose ids have the lowest hashes.  Only rows
+    under a threshold that leaves a few times as many reach the one task that ends the order."""
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    n = rows.count()
+    share = min(1.0, 4 * size / max(1, n))
+    while share < 1.0:
+        part = cut(rows.where(F.col("h") < F.lit(int((share - 0.5) * 2.0**64))))
+        if part.count() >= size:
+            return cut(part.orderBy("h", "id").limit(size).drop("h"))
+        share *= 4
+    return cut(rows.orderBy("h", "id").limit(size).drop("h"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, mod: int, rest: int,
                     size: int) -> tuple[DataFrame, int]:
     """(id, text, y) of the ``size`` labelled ids, not held out, that come first by their
     hash, and how many these are.  An id with several labels has their mean; null labels
-    and ids are no labels."""
-    ids = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    and ids are no labels.  Of an id with several texts the ``TEXTS`` distinct ones that
+    come first by their hash are learnt from, so the sample's rows are bounded too."""
+    ids = lowest_ids(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
            .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"), mod, rest))
-           .groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(size))
+           .groupBy("id").agg(F.avg("y").alias("y")), size)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = cut(ids)
-    return texts.join(F.broadcast(ids), "id"), ids.count()  # at most ``size`` ids
+    distinct = (texts.join(F.broadcast(ids), "id")  # at most ``size`` ids
+                .groupBy("id", "y", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.first("text").alias("text")))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("h", "h2"))
+    return distinct.withColumn("nth", nth).where(F.col("nth") <= TEXTS).select("id", "text", "y"), ids.count()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
@@ -205,8 +241,7 @@ def add_scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text", sco
                 lo += len(texts)
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{score_col}` double"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, extended(rows.schema, (score_col, DoubleType())))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",

@@ -26,9 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from xxhash import xxh64_intdigest
 
 from cardlake.llm.components import connected_components
+from cardlake.llm.schemas import extended
 from cardlake.session import cut
 
 SEED = 42
@@ -62,7 +64,7 @@ def add_fingerprints(keyed: DataFrame, text_col: str, shingle: int = 4) -> DataF
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(text_col)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name != text_col] + ["fp bigint"])
+    schema = extended(StructType([f for f in keyed.schema if f.name != text_col]), ("fp", LongType()))
     return keyed.mapInArrow(run, schema)
 
 
@@ -173,20 +175,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
              segments: int = 3) -> DataFrame:
     """The row of the smallest id of each component, with all its columns; of equal ids
-    the one with the lowest text key, and one of fully repeated rows.  Null ids come last.
+    the one with the lowest text key, of equal texts the one with the lowest hash of its
+    whole row, and one of fully repeated rows.  Null ids come last.
     Components are those of ``near_duplicates``; only narrow keys are grouped, and texts
     move once, in the join that fetches the kept rows."""
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
-                         F.xxhash64(F.col(text_col), F.length(text_col)).alias("key"))
-    keyed = cut(add_fingerprints(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col), F.length(text_col)).alias("key"),
-                    F.col(text_col).alias("text")), "text", shingle))
+    key = F.xxhash64(F.col(text_col), F.length(text_col)).alias("key")
+    # maps cannot be hashed as they are
+    whole = F.xxhash64(*(F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in ((f"`{c}`", t) for c, t in docs.dtypes))).alias("whole")
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), key, whole)
+    keyed = cut(add_fingerprints(docs.select(F.col(id_col).alias("id"), key, whole, F.col(text_col).alias("text")), "text", shingle))
     comp = fingerprint_components(keyed, "id", radius, segments)
-    rows = keyed.groupBy("id", "key", "fp").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("p")
-    picks = cut(rows.join(comp, "fp").groupBy("label").agg(best).select("p.id", "p.key", "p.n"))
-    kept = packed.alias("d").join(picks.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.key") == F.col("p.key")))
-    kept = kept.select("d.row", "d.id", "d.key", "p.n")
+    rows = keyed.groupBy("id", "key", "whole", "fp").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "whole", "n")).alias("p")
+    picks = cut(rows.join(comp, "fp").groupBy("label").agg(best).select("p.id", "p.key", "p.whole", "p.n"))
+    kept = packed.alias("d").join(picks.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.key") == F.col("p.key"))
+                                  & (F.col("d.whole") == F.col("p.whole")))
+    kept = kept.select("d.row", "d.id", "d.key", "d.whole", "p.n")
     if picks.where("n > 1").take(1):
-        kept = kept.where("n = 1").unionAll(kept.where("n > 1").dropDuplicates(["id", "key"]))
+        kept = kept.where("n = 1").unionAll(kept.where("n > 1").dropDuplicates(["id", "key", "whole"]))
     return kept.select("row.*")

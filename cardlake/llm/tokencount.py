@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from cardlake.llm import bytebpe
+from cardlake.llm.schemas import extended
 
 #: characters per chunk of a huge text, and of the first overlap tried
 CHUNK = 16_384
@@ -100,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     columns are ignored, whatever their names; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
+    schema = extended(rows.select("id").schema, ("n_bytes", LongType()), ("n_tokens", LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, chunk, overlap)

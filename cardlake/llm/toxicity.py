@@ -23,9 +23,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from xxhash import xxh64_intdigest
 
 from cardlake.llm.quality import held_out, labelled_sample, sigmoid, slices
+from cardlake.llm.schemas import extended
 
 DIM = 1 << 18
 PREFIXES = (4, 5, 6, 7)
@@ -238,6 +240,6 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
             got = scorer.scores([t.as_py() or "" for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got)], names=["id", "score"])
 
-    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    scored = rows.mapInArrow(run, extended(rows.select("id").schema, ("score", DoubleType())))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id"), mod, rest).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
@@ -34,9 +36,13 @@ from cardlake.session import cut
 SEGMENT = 32_768
 CHUNK = 8_192
 RECORDS = 8_192
+#: bytes of the largest archive file that is read
+LARGEST = 1 << 29
 #: payloads of at least this many bytes are written once
 REVISIT_BYTES = 1_000
 
+_NUMBER = re.compile("-?[0-9]{1,18}|-?[1-8][0-9]{18}")
+
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -135,21 +141,34 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
      .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path))
 
 
+class Damaged(ValueError):
+    """An archive that cannot be read on; the message says why."""
+
+
 def parse_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-cased headers, block) of each record of an archive."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not at the start of a record")
-        head: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        block = stream.read(int(head["content-length"]))
-        if len(block) != int(head["content-length"]):
-            raise ValueError("archive ends within a record")
-        yield head, block
+    """(lower-cased headers, block) of each record of an archive; raises ``Damaged`` where it
+    cannot be read on."""
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise Damaged("not at the start of a record")
+            head: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            if not line:
+                raise Damaged("archive ends within a header")
+            size = head.get("content-length", "")
+            if not (size.isascii() and size.isdigit()):
+                raise Damaged("record without a length")
+            block = stream.read(int(size))
+            if len(block) != int(size):
+                raise Damaged("archive ends within a record")
+            yield head, block
+    except (EOFError, OSError, zlib.error) as e:
+        raise Damaged("broken compression") from e
 
 
 def http_payload(block: bytes) -> bytes:
@@ -175,7 +194,7 @@ def assemble(numbers: list[int], blocks: list[bytes], total: int | None) -> tupl
         return None, "broken framing"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
     """The records of all archives (gzip or plain, of any name that does not start with ``_``
     or ``.``) in ``path``: record_id, page_id,
     record_type, target_uri, payload_digest (as the record states it), refers_to,
@@ -184,18 +203,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Segments are put together by origin identifier and segment number; the payload is null
     and ``problem`` says why if one is missing, if two contradict each other, if the total
     length differs or the framing is broken.  Revisits have no payload of their own.
-    Records of other types are left out; no archives give no rows."""
+    Records of other types are left out; no archives give no rows.  What precedes the damage
+    in an archive that cannot be read to its end is read (up to the buffer in which its
+    compression breaks); the rest gives one row with a ``problem``, the archive's path as ``record_id`` and the type ``damaged``, and so does a
+    record without an identifier or with a number that is none.  An archive is one row of its
+    task; one of over ``largest`` bytes is not opened and gives such a row too."""
     fields = [("record_id", pa.string()), ("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()),
               ("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()),
               ("refers_to", pa.int64()), ("block", pa.binary()), ("payload", pa.binary()), ("problem", pa.string())]
     spelled = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
 
+    def damaged(problem: str, rid: str | None) -> tuple:
+        return (rid, *[None] * 4, "damaged", *[None] * 5, problem)
+
     def row(head: dict[str, str], block: bytes) -> tuple | None:
         kind = head.get("warc-type")
         if kind not in ("response", "revisit", "continuation"):
             return None
         number, digest = head.get("warc-segment-number"), head.get("warc-payload-digest")
-        rid = head["warc-record-id"]
+        rid = head.get("warc-record-id")
+        numbers = [head.get(k) or None for k in ("warc-segment-number", "warc-segment-total-length", "x-page-id", "x-refers-to-page-id")]
+        if not rid or any(v is not None and not _NUMBER.fullmatch(v) for v in numbers):
+            return damaged("record without an identifier" if not rid else "number that is none", rid)
         payload = problem = None
         if kind == "response" and not number:
             try:
@@ -213,22 +242,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
         for b in batches:
-            for content in b.column("content"):
+            for name, content in zip(b.column("path"), b.column("content"), strict=True):
+                if not content.is_valid:
+                    yield batch([damaged("archive too large", name.as_py())])
+                    continue
                 data = content.as_buffer()
                 plain = io.BytesIO(data) if data.size else io.BytesIO()
                 stream = gzip.GzipFile(fileobj=plain) if data.size > 1 and data[0] == 0x1F and data[1] == 0x8B else plain
                 rows, size = [], 0
-                for head, block in parse_archive(io.BufferedReader(stream, 1 << 16)):
-                    if r := row(head, block):
-                        rows.append(r)
-                        size += len(block)
-                    if size > 1 << 23:
-                        yield batch(rows)
-                        rows, size = [], 0
+                try:
+                    for head, block in parse_archive(io.BufferedReader(stream, 1 << 16)):
+                        if r := row(head, block):
+                            rows.append(r)
+                            size += len(block)
+                        if size > 1 << 23:
+                            yield batch(rows)
+                            rows, size = [], 0
+                except Damaged as e:
+                    rows.append(damaged(str(e), name.as_py()))
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= largest).select("path", "content")
+    large = files.where(F.col("length") > largest).select("path", F.lit(None).cast("binary").alias("content"))  # not opened
+    files = small.unionAll(large)
     parsed = files.mapInArrow(parse, ", ".join(f"{n} {spelled[t]}" for n, t in fields))
     shown = ["record_id", "page_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload", "problem"]
 
