@@ -6,10 +6,14 @@ division, so copies of a page do not turn its own lines into boilerplate.  With
 the same holds for near copies: pages of one host whose word shingles are that similar
 (Jaccard) form families, and a family counts once.
 
-Families come from a sketch of each page, its ``SKETCH`` smallest shingle hashes.  Pages that
-share one of their ``KEYS`` smallest hashes are each compared with one page of that slot, so
-pairs grow with the pages, not with the square of a family; the links' components are the
-families.
+Families come from a sketch of each page, its ``SKETCH`` smallest shingle hashes, from which
+the similarity of two pages is estimated (at 0.8 with a standard deviation of 0.05).  Pages
+that share one of their ``KEYS`` smallest hashes are each compared with the first page of that
+slot, so pairs grow with the pages, not with the square of a family; the links' components
+are the families.  A site's template fills slots whose first page is any page of the site,
+but it is one and the same page for all of them, and ``KEYS`` leaves enough slots for what a
+page has of its own: where unrelated pages are not similar themselves (a template of up to
+85 %), 0.98-similar pairs are found with a recall over 0.9.
 
 Lines and pages are counted by 128-bit hashes: the exploded rows are narrow, the distinct
 step and the counts aggregate before they shuffle, and no text is moved.  The boilerplate
@@ -29,7 +33,7 @@ from cardlake.session import cut
 #: words of a shingle, hashes of a sketch, and how many of them are looked up
 SHINGLE = 3
 SKETCH = 64
-KEYS = 8
+KEYS = 32
 
 
 def _hashes(c: Column) -> tuple[Column, Column]:
@@ -49,9 +53,9 @@ def families(pages: DataFrame, near: float) -> DataFrame:
     sketches = cut(pages.select("host", "page", F.split(F.lower(F.trim("text")), r"\s+").alias("words"))
                    .select("host", "page", F.slice(F.array_sort(F.array_distinct(shingles)), 1, SKETCH).alias("sketch"))
                    .dropDuplicates(["page"]))
-    slots = sketches.select("host", "page", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
-    firsts = slots.groupBy("host", "key").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = slots.join(firsts, ["host", "key"]).where("page <> first").select("page", "first").distinct()
+    slots = sketches.select("host", "page", F.explode(F.slice("sketch", 1, KEYS)).alias("key")).select(F.xxhash64("host", "key").alias("slot"), "page")
+    firsts = slots.groupBy("slot").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").drop("last")
+    pairs = slots.join(firsts, "slot").where("page <> first").select("page", "first").distinct()
     both = (pairs.join(sketches.select("page", F.col("sketch").alias("a")), "page")
             .join(sketches.select(F.col("page").alias("first"), F.col("sketch").alias("b")), "first"))
     lowest = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
@@ -89,8 +93,8 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     lines before and the dropped lines are added under these two names.
 
     A line is boilerplate if it is on more than ``ratio`` of its host's distinct pages and
-    on at least ``min_pages`` of them.  With ``near``, pages of a host with at least that
-    similarity, and those they are linked to by such pages, count as one page.  Lines are compared without surrounding spaces; lines
+    on at least ``min_pages`` of them.  With ``near``, pages of a host whose estimated similarity
+    is at least that, and those they are linked to by such pages, count as one page.  Lines are compared without surrounding spaces; lines
     of spaces only are never boilerplate.  The lines kept stay as they were, in order; a
     page with no line left has the empty text.  A null text stays null, an empty one empty.
     Rows without a host are left as they are.  Repeated rows stay, other columns pass
