@@ -11,8 +11,10 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cardlake.operators.nest import ordered_list
 
@@ -49,6 +51,39 @@ def evaluate(questions: DataFrame, make_answerer: Callable[[], Callable[[str], s
     return questions.select(*cols).mapInPandas(run, RESULT_SCHEMA)
 
 
+def resume(questions: DataFrame, make_answerer: Callable[[], Callable[[str], str]], log: str, retry_failed: bool = False) -> DataFrame:
+    """Answer the questions that the log folder does not hold yet, append the answers and
+    return the whole log, one row a question.
+
+    The log is append-only Parquet: a run that breaks off loses nothing of the runs before
+    it, and running again answers what is left.  A question is known by category and id.
+    Failures are rows like any other; with ``retry_failed`` they are asked again and the
+    latest answer of a question counts."""
+    spark = questions.sparkSession
+    key = [F.col("category"), F.col("id_question")]
+    try:
+        done = spark.read.parquet(log)
+        run = (done.agg(F.max("run")).first()[0] or 0) + 1
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        done, run = None, 1
+    todo = questions
+    if done is not None:
+        known = done.where(~F.col("reponse_ia").startswith(FAILED)) if retry_failed else done
+        todo = questions.join(known.select("category", F.col("id_question").alias("id")).distinct(), ["category", "id"], "left_anti")
+    evaluate(todo, make_answerer).withColumn("run", F.lit(run)).write.mode("append").parquet(log)
+    latest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("run"), "pos"))
+    return spark.read.parquet(log).withColumn("_nth", latest).where("_nth = 1").drop("_nth")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The nested result files of :func:`write_results` as one row a question."""
+    item = "struct<id_question: string, question: string, temps_reponse_secondes: double, reponse_ia: string>"
+    raw = spark.read.schema(f"category string, results array<{item}>").json(path)
+    return raw.select("category", F.posexplode("results").alias("nth", "r")).select("category", "nth", "r.*")
+
+
 def latency_report(results: DataFrame, value: str = "temps_reponse_secondes", by: str = "category") -> DataFrame:
     """Count, mean, median, min, max per category, rounded to 2 (E11).  The median is
     exact with bounded memory per category (:func:`cardlake.operators.stats.exact_quantile`)."""

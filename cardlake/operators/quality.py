@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RESULT_SCHEMA = "table_name string, column_name string, test string, failures bigint, status string"
 
@@ -67,6 +68,31 @@ def schema_check(spark: SparkSession, name: str, df: DataFrame | None, expected:
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def conformance(name: str, df: DataFrame, declared: StructType) -> DataFrame:
+    """Source declaration over data (K4): one row per declared column with the number of
+    values that are not of its type, and of rows if the column is missing; extra columns
+    come with 0.  All columns are counted in one scan, by ``try_cast`` of their text."""
+    present = {c.lower() for c in df.columns}
+    wrong, shown = [], []
+    for f in declared.fields:
+        if f.name.lower() in present:
+            text = F.col(f"`{f.name}`").cast("string")
+            wrong.append(F.count_if(text.isNotNull() & text.try_cast(f.dataType).isNull()))
+            shown.append((f.name, "type"))
+        else:
+            wrong.append(F.count(F.lit(1)))
+            shown.append((f.name, "missing"))
+    for c in df.columns:
+        if c.lower() not in {f.name.lower() for f in declared.fields}:
+            wrong.append(F.lit(0).cast("long"))
+            shown.append((c, "extra"))
+    counts = df.agg(*(w.alias(f"_{i}") for i, w in enumerate(wrong)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("test"), F.col(f"_{i}").alias("failures")) for i, (c, t) in enumerate(shown)))
+    out = counts.select(F.explode(rows).alias("r")).select("r.*")
+    status = F.when(F.col("test") == "extra", "extra").otherwise(_status(F.col("failures")))
+    return out.select(F.lit(name).alias("table_name"), "column_name", "test", "failures", status.alias("status"))
+
+
 def fused_checks(name: str, df: DataFrame, key: str, not_null: Sequence[str]) -> DataFrame:
     """``unique(key)`` and ``not_null`` of every listed column in one scan: the
     ``groupBy(key)`` that finds repeated keys also sums each column's NULLs per key

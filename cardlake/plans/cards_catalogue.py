@@ -17,21 +17,20 @@ def _money(c: str) -> F.Column:
     return F.col(c).cast("decimal(18,2)").cast("string")
 
 
-def customer_cards(spark: SparkSession, sf: str) -> DataFrame:
-    """One card per customer; segment blanked or NULL on some rows to exercise the
-    optional lines; orders listed with a singular/plural label (B6, H13, I1-I6)."""
-    c = table(spark, sf, "customer")
+def customer_cards(spark: SparkSession, sf: str, more: DataFrame | None = None) -> DataFrame:
+    """One card per customer (and per row of ``more``); orders listed with a
+    singular/plural label (B6, H13, I1-I6)."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    c = c if more is None else c.unionByName(more)
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey"))
     ords = nest.nest_children(o, "o_custkey", ["o_orderkey"], [F.col("o_orderkey").cast("string")], "orders",
                               scalar=True)
-    k = F.col("c_custkey") % 9
-    seg = F.when(k == 0, F.lit("")).when(k == 1, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
     j = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(ords, c.c_custkey == ords._parent_key, "left")
     content = cards.card_text("--- FICHE CLIENT ---", [
         cards.always("Nom du client", "c_name"),
         cards.line("Nation", "n_name"),
-        cards.line("Segment de marché", seg),
+        cards.line("Segment de marché", "c_mktsegment"),
         cards.line("Solde du compte", _money("c_acctbal"), when=cards.truthy("c_acctbal", numeric=True)),
         cards.plural_line("Commande passée", "Commandes passées", F.coalesce("orders", F.array().cast("array<string>"))),
     ])
@@ -99,8 +98,15 @@ def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def cards_optional_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Customer card text per customer: optional lines only when the value is present
-    and not blank, singular/plural order labels (B6, B7, H13)."""
-    return customer_cards(spark, sf).select(F.regexp_extract("card_id", r"(\d+)$", 1).cast("bigint").alias("c_custkey"),
+    and not blank, singular/plural order labels (B6, B7, H13).  Beside the customers, every
+    nation stands for two that lack the optional values: an empty and a missing segment."""
+    n = table(spark, sf, "nation")
+    odd = n.select((-2 * F.col("n_nationkey") - 1).alias("c_custkey"), F.concat(F.lit("Client "), "n_name").alias("c_name"),
+                   F.col("n_nationkey").alias("c_nationkey"), F.lit("").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"))
+    odd = odd.unionAll(odd.select(F.col("c_custkey") - 1, "c_name", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("double")))
+    types = dict(table(spark, sf, "customer").dtypes)
+    odd = odd.select(*(F.col(c).cast(types[c]).alias(c) for c in odd.columns))
+    return customer_cards(spark, sf, odd).select(F.regexp_extract("card_id", r"(-?\d+)$", 1).cast("bigint").alias("c_custkey"),
                                             "page_content")
 
 

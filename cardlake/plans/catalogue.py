@@ -199,36 +199,27 @@ def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def _titled_suppliers(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier")
-    k = F.col("s_suppkey") % 6
-    raw = (
-        F.when(k == 0, F.concat(F.lit("Dr. "), "s_name"))
-        .when(k == 1, F.concat(F.lit("pr "), F.lower("s_name")))
-        .when(k == 2, F.concat(F.lit("  Professeure "), "s_name", F.lit(" ")))
-        .when(k == 3, F.concat(F.lit("'"), "s_name", F.lit("'")))
-        .when(k == 4, F.lit("Dr."))
-        .otherwise(F.col("s_name"))
-    )
-    return s.select("s_suppkey", raw.alias("raw"))
+    forms = F.array(
+        F.col("s_name"), F.concat(F.lit("Dr. "), "s_name"), F.concat(F.lit("pr "), F.lower("s_name")),
+        F.concat(F.lit("  Professeure "), "s_name", F.lit(" ")), F.concat(F.lit("'"), "s_name", F.lit("'")), F.lit("Dr."))
+    return s.select("s_suppkey", F.explode(forms).alias("raw"))
 
 
 def format_title_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Display names with one normalised title; stray quotes removed (H2, H3)."""
+    """Display names with one normalised title; stray quotes removed (H2, H3): every
+    supplier's name as it is, titled in several ways, quoted, and a bare title."""
     s = _titled_suppliers(spark, sf)
     return s.select("s_suppkey", "raw", format_title("raw").alias("display"), strip_quotes("raw").alias("unquoted"))
 
 
 def parse_list_text_q(spark: SparkSession, sf: str) -> DataFrame:
-    """``[a, b]`` list text parsed back into items (H5, H8)."""
+    """``[a, b]`` list text parsed back into items (H5, H8): every part's whole list and,
+    beside it, a list of one item, an empty one and a missing one."""
     p = table(spark, sf, "part")
-    k = F.col("p_size") % 6
-    raw = (
-        F.when(k == 0, F.lit("[]"))
-        .when(k == 1, F.lit(None).cast("string"))
-        .when(k == 2, F.concat(F.lit("[ "), "p_brand", F.lit(" ]")))
-        .otherwise(F.concat(F.lit("["), "p_brand", F.lit(", "), "p_type", F.lit(", , "), "p_name", F.lit("]")))
-    )
-    items = parse_list_text(raw)
-    return p.select("p_partkey", raw.alias("raw"), F.size(items).cast("bigint").alias("n_items"),
+    raw = F.array(F.concat(F.lit("["), "p_brand", F.lit(", "), "p_type", F.lit(", , "), "p_name", F.lit("]")),
+                  F.concat(F.lit("[ "), "p_brand", F.lit(" ]")), F.lit("[]"), F.lit(None).cast("string"))
+    items = parse_list_text(F.col("raw"))
+    return p.select("p_partkey", F.explode(raw).alias("raw")).select("p_partkey", "raw", F.size(items).cast("bigint").alias("n_items"),
                     to_json_text(items).alias("items_json"))
 
 
@@ -279,12 +270,12 @@ def extract_emails_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reject_blank(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions with NULL, empty or blank text are rejected (B8). Some turns are
-    blanked here to exercise the three blank forms."""
-    c = table(spark, sf, "conversations")
-    k = F.col("turn") % 7
-    text = F.when(k == 3, F.lit("   ")).when(k == 5, F.lit("")).when(k == 6, F.lit(None)).otherwise(F.col("text"))
-    asked, rejected = retrieve.split_blank(c.select("conv_id", "turn", text.alias("text")), "text")
+    """Questions with NULL, empty or blank text are rejected (B8).  Every turn comes as it
+    is and, beside it, once more as a blank of one of the three forms, by its role."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    blank = F.when(F.col("role") == "user", F.lit("   ")).when(F.col("role") == "assistant", F.lit(""))
+    both = c.unionAll(c.withColumn("text", blank))
+    asked, rejected = retrieve.split_blank(both, "text")
     return asked.select("conv_id", "turn", F.lit("valid").alias("status")).unionAll(
         rejected.select("conv_id", "turn", F.lit("rejected").alias("status")))
 

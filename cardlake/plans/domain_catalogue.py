@@ -53,9 +53,10 @@ def _regions(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("r_name").alias("ville"), F.lit("Pays").alias("pays"), F.col("r_name").alias("region"),
                  F.lit(None).cast("string").alias("quartier")).alias("localisation"),
         F.col("nations").alias("departements_inclus"))
-    # the last region's envelope is empty
-    last = F.col("r_regionkey") == 4
-    return r.select(F.when(~last, body).alias("faculte"), _pos("r_regionkey").alias("_pos"))
+    full = r.select(body.alias("faculte"), _pos("r_regionkey").alias("_pos"))
+    # beside each document comes one with an empty envelope
+    empty = r.select(F.lit(None).cast(full.schema["faculte"].dataType).alias("faculte"), F.concat(F.lit("e"), _pos("r_regionkey")).alias("_pos"))
+    return full.unionAll(empty)
 
 
 def _departments(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,13 +127,17 @@ def _professors(spark: SparkSession, sf: str) -> DataFrame:
     mails = (F.when(k % 3 == 0, F.array(F.concat(F.lit(" "), mail, F.lit(" "))))
              .when(k % 3 == 1, F.array(mail, F.lit(" "), F.concat(F.lit("bis."), mail), F.lit(None).cast("string"))))
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select(
+    guests = table(spark, sf, "nation").select(  # of no lab, with a blank status
+        F.concat(F.lit("Invité "), "n_name").alias("name"), F.lit("  ").alias("status"), *(F.lit(None).cast("string").alias(x) for x in ("linkedin_url",)),
+        F.array().cast("array<string>").alias("email"), *(F.lit(None).cast("string").alias(x) for x in ("scopus_profile_url", "biography")),
+        F.col("n_name").alias("departement_name"), F.concat(F.lit("g"), _pos("n_nationkey")).alias("_pos"))
+    return guests.unionAll(c.select(
         F.when(k % 5 == 0, F.concat(F.lit("Dr. "), "c_name")).otherwise(F.col("c_name")).alias("name"),
-        F.when(k % 4 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")).alias("status"),
+        F.col("c_mktsegment").alias("status"),
         F.when(k % 6 != 1, F.concat(F.lit("https://www.example.org/in/"), k.cast("string"))).alias("linkedin_url"),
         mails.alias("email"), F.lit(None).cast("string").alias("scopus_profile_url"),
         F.when(k % 2 == 0, F.concat(F.lit("Biographie de "), "c_name")).alias("biography"), F.col("n_name").alias("departement_name"),
-        _pos("c_custkey").alias("_pos"))
+        _pos("c_custkey").alias("_pos")))
 
 
 def documents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

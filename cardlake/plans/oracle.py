@@ -138,15 +138,13 @@ WITH n AS (
 SELECT source, id, {normalize_sql('name')} AS name_key FROM n""",
     "format_title": f"""
 WITH s AS (
-  SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Dr. ' || s_name WHEN 1 THEN 'pr ' || lower(s_name)
-                                       WHEN 2 THEN '  Professeure ' || s_name || ' ' WHEN 3 THEN '''' || s_name || ''''
-                                       WHEN 4 THEN 'Dr.' ELSE s_name END AS raw
+  SELECT s_suppkey, unnest([s_name, 'Dr. ' || s_name, 'pr ' || lower(s_name), '  Professeure ' || s_name || ' ',
+                            '''' || s_name || '''', 'Dr.']) AS raw
   FROM supplier)
 SELECT s_suppkey, raw, {format_title_sql('raw')} AS display, {strip_quotes_sql('raw')} AS unquoted FROM s""",
     "parse_list_text": f"""
 WITH p AS (
-  SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN '[]' WHEN 1 THEN NULL WHEN 2 THEN '[ ' || p_brand || ' ]'
-                    ELSE '[' || p_brand || ', ' || p_type || ', , ' || p_name || ']' END AS raw
+  SELECT p_partkey, unnest(['[' || p_brand || ', ' || p_type || ', , ' || p_name || ']', '[ ' || p_brand || ' ]', '[]', NULL]) AS raw
   FROM part)
 SELECT p_partkey, raw, CAST(len({parse_list_sql('raw')}) AS BIGINT) AS n_items,
        CAST(to_json({parse_list_sql('raw')}) AS VARCHAR) AS items_json FROM p""",
@@ -179,9 +177,8 @@ SELECT doc_id, CAST(len(e) AS BIGINT) AS n_emails, CAST(to_json(e) AS VARCHAR) A
   SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), {EMAIL_SQL}))) AS e FROM documents)""",
     "reject_blank": f"""
 SELECT conv_id, turn,
-       CASE WHEN coalesce({strip_sql("CASE turn % 7 WHEN 3 THEN '   ' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE text END")}, '') <> ''
-            THEN 'valid' ELSE 'rejected' END AS status
-FROM conversations""",
+       CASE WHEN coalesce({strip_sql("text")}, '') <> '' THEN 'valid' ELSE 'rejected' END AS status
+FROM conversations UNION ALL SELECT conv_id, turn, 'rejected' FROM conversations""",
     "latency_by_category": """
 SELECT event_type, count(*) AS n, round(avg(value), 2) AS mean_value, round(quantile_cont(value, 0.5), 2) AS median_value,
        round(min(value), 2) AS min_value, round(max(value), 2) AS max_value

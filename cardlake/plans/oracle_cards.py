@@ -41,7 +41,7 @@ SELECT 'client:' || c.c_custkey AS card_id, 'customer' AS source, 'client' AS ty
   {_card('--- FICHE CLIENT ---', [
       _always('Nom du client', 'c.c_name'),
       _opt('Nation', 'n.n_name'),
-      _opt('Segment de marché', "CASE c.c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE c.c_mktsegment END"),
+      _opt('Segment de marché', 'c.c_mktsegment'),
       _opt('Solde du compte', _money('c.c_acctbal'), 'c.c_acctbal IS NOT NULL AND c.c_acctbal <> 0'),
       _plural('Commande passée', 'Commandes passées', "coalesce(o.orders, CAST([] AS VARCHAR[]))"),
   ])} AS page_content,
@@ -50,6 +50,12 @@ FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN (SELECT o_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS orders
            FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey"""
 
+# two customers a nation that lack the optional values
+_ODD_CUSTOMERS = """(SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer
+  UNION ALL SELECT -2 * n_nationkey - 1, 'Client ' || n_name, n_nationkey, '', 0 FROM nation
+  UNION ALL SELECT -2 * n_nationkey - 2, 'Client ' || n_name, NULL, NULL, NULL FROM nation)"""
+OPTIONAL_CARDS = CUSTOMER_CARDS.replace("FROM customer c", f"FROM {_ODD_CUSTOMERS} c")
+
 REGION_CARDS = f"""
 SELECT 'region:' || r.r_regionkey AS card_id, 'region' AS source, 'region' AS type, r.r_name AS identifier,
   {_card('--- FICHE RÉGION ---', [
@@ -180,7 +186,7 @@ HYBRID_MERGE = HYBRID + "\nSELECT qid, position, card_id, CAST(stage AS INTEGER)
 PROMPT_CONTEXT = HYBRID + f"\nSELECT qid, string_agg(page_content, {NL} || {NL} ORDER BY position) AS context FROM m GROUP BY qid"
 
 FIELDS = f"""
-WITH cards AS ({CUSTOMER_CARDS}),
+WITH cards AS ({OPTIONAL_CARDS}),
 lines AS (SELECT c_custkey, generate_subscripts(string_split(page_content, {NL}), 1) AS li,
                  unnest(string_split(page_content, {NL})) AS ln FROM cards),
 f AS (SELECT c_custkey, li, lower({strip_sql("split_part(ln, ':', 1)")}) AS label,
@@ -378,7 +384,7 @@ r AS (SELECT qid, answer, CASE WHEN len(valid) = 0 THEN answer ELSE array_to_str
 SELECT r.qid, coalesce(n_cards, 0) AS n_cards, grounded, NOT coalesce(grounded = answer, FALSE) AS changed FROM r LEFT JOIN n USING (qid)"""
 
 SQL: dict[str, str] = {
-    "cards_optional_lines": f"SELECT c_custkey, page_content FROM ({CUSTOMER_CARDS})",
+    "cards_optional_lines": f"SELECT c_custkey, page_content FROM ({OPTIONAL_CARDS})",
     "corpus_union": CORPUS,
     "corpus_counts": f"SELECT source, count(*) AS n_cards FROM ({CORPUS}) GROUP BY ROLLUP (source)",
     "intent_keywords": INTENT,

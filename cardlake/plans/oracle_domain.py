@@ -43,7 +43,7 @@ LEFT JOIN customer c ON coord IS NOT NULL AND c.c_custkey = s_suppkey LEFT JOIN
 PROFESSORS = f"""
 SELECT 'professeur' AS type, name AS identifier, {_card(D.H_PROFESSOR, [
     _always(L['f_name'], format_title_sql('name')), _always(L['f_dept'], 'n_name'),
-    _line(L['f_status'], 'c_mktsegment', 'c_custkey % 4 <> 0'),
+    _line(L['f_status'], 'c_mktsegment', 'true'),
     _plural(L['f_mail1'], L['f_mailn'], f'({_mails("c_custkey")})'),
     _line(L['f_linkedin'], "'https://www.example.org/in/' || c_custkey", 'c_custkey % 6 <> 1'),
     _line(L['f_bio'], "'Biographie de ' || c_name", 'c_custkey % 2 = 0'),
@@ -51,7 +51,9 @@ SELECT 'professeur' AS type, name AS identifier, {_card(D.H_PROFESSOR, [
     _line(L['f_coord'], 's_name', 's_suppkey % 4 > 0'),
 ])} AS page_content
 FROM (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 'Dr. ' || c_name ELSE c_name END AS name FROM customer)
-JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_nationkey IN (SELECT n_nationkey FROM nation)"""
+JOIN nation ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_nationkey IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'professeur', 'Invité ' || n_name, {_card(D.H_PROFESSOR, [
+    _always(L['f_name'], format_title_sql("('Invité ' || n_name)")), _always(L['f_dept'], 'n_name')])} FROM nation"""
 
 LABS = f"""
 WITH teams AS (SELECT c_nationkey, c_mktsegment, '{{"nom_equipe":"' || c_mktsegment || '","membres":[' || string_agg(
@@ -89,16 +91,16 @@ SELECT 'etablissement' AS type, r_name AS identifier, {_card(D.H_INSTITUTION, [
     _always(L['i_loc'], """'{"ville":"' || r_name || '","pays":"Pays","region":"' || r_name || '","quartier":null}'"""),
     _opt(L['i_tel'], 'tel'), _opt(L['i_deps'], 'deps'),
 ])} AS page_content
-FROM region LEFT JOIN n ON n_regionkey = r_regionkey WHERE r_regionkey <> 4"""
+FROM region LEFT JOIN n ON n_regionkey = r_regionkey"""
 
 TIMETABLES = f"SELECT 'emploi_du_temps' AS type, 'user_' || user_id AS identifier, page_content FROM ({_timetable()})"
 
 ALL = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (PROGRAMMES, PROFESSORS, LABS, DEPARTMENTS, TIMETABLES, INSTITUTIONS))
 
 _S = "(SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
-_R = "(SELECT * FROM region JOIN nation ON r_regionkey = n_regionkey WHERE r_regionkey <> 4)"
+_R = "(SELECT * FROM region JOIN nation ON r_regionkey = n_regionkey)"
 LOAD = " UNION ALL ".join(f"SELECT {_q(name)} AS table_name, ({count}) AS rows" for name, count in {
-    "faculte": "SELECT count(*) FROM region WHERE r_regionkey <> 4",
+    "faculte": "SELECT count(*) FROM region",
     "faculte__contact__telephone": f"SELECT count(*) FROM {_R}",
     "faculte__departements_inclus": f"SELECT count(*) FROM {_R}",
     "departements": "SELECT count(*) FROM nation",
@@ -112,7 +114,7 @@ LOAD = " UNION ALL ".join(f"SELECT {_q(name)} AS table_name, ({count}) AS rows"
     "laboratoires": "SELECT count(*) FROM nation",
     "laboratoires__equipes": "SELECT count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)",
     "laboratoires__equipes__membres": "SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "professeurs": "SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "professeurs": "SELECT (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(*) FROM nation)",
     "professeurs__email": """SELECT sum(CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 0 END)::BIGINT
                              FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }.items())

@@ -30,7 +30,7 @@ SQL: dict[str, str] = {
 SELECT conv_id AS msg_id, turn AS seq, 'data: ' || to_json({{'type': {EVENT_TYPE}, 'text': text}}) AS frame
 FROM conversations""",
     "decode_frames": f"""
-SELECT conv_id AS msg_id, turn AS seq, {EVENT_TYPE} AS type, text FROM conversations WHERE turn % 5 <> 4""",
+SELECT conv_id AS msg_id, turn AS seq, {EVENT_TYPE} AS type, text FROM conversations""",
     "answer_events": f"""
 WITH chunks AS (SELECT conv_id AS msg_id, turn AS seq, text FROM conversations WHERE role = 'assistant'),
 finals AS (
