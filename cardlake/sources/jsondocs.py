@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 from cardlake.session import cut
 from cardlake.operators.shred import map_to_wide, shred, snake_case, unwrap, unwrap_list
@@ -81,6 +81,34 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataF
         raise
 
 
+def write_lines(docs: DataFrame, path: str) -> None:
+    """Documents with their position ``_pos`` as line-delimited JSON, one record a line."""
+    docs.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, quarantine) of line-delimited JSON with an explicit schema (A1).
+
+    Each record carries its position ``_pos``, so files may be split, added or renamed and no
+    task holds more than its share of a file.  A record that is no JSON object, has a value of
+    another type or no position goes to the quarantine as it stands, ``(file, record)``; the rest are
+    documents.  A missing folder gives two empty tables and a warning (A2)."""
+    declared = StructType.fromDDL(schema).add("_pos", "string")
+    try:
+        raw = spark.read.schema(StructType([*declared.fields, StructField("_corrupt", StringType())])).option(
+            "columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            log.warning("file not found: %s", path)
+            return spark.createDataFrame([], declared), spark.createDataFrame([], "file string, record string")
+        raise
+    columns = [F.col(f"`{f.name}`") for f in declared.fields]
+    good = raw.where("_corrupt is null and _pos is not null").select(*columns)
+    bad = raw.where("_corrupt is not null or _pos is null").select(
+        F.col("_metadata.file_name").alias("file"), F.coalesce("_corrupt", F.to_json(F.struct(*columns))).alias("record"))
+    return good, bad
+
+
 def decode_documents(df: DataFrame, text_col: str, schema: str | StructType) -> DataFrame:
     """JSON document text already in a column -> one row of the declared schema per
     document (the in-table counterpart of :func:`read_json`); malformed -> all NULL."""

@@ -144,3 +144,35 @@ def test_conformance_counts_values_of_the_wrong_type(spark):
     df = spark.createDataFrame([("1", "2020-01-01", "x", "t"), ("x", "2020-13-01", None, "u"), (None, None, "y", "v")], "k string, d string, s string, more string")
     got = {(r.column_name, r.test): (r.failures, r.status) for r in quality.conformance("t", df, StructType.fromDDL("K int, d date, s string, gone double")).collect()}
     assert got == {("K", "type"): (1, "fail"), ("d", "type"): (1, "fail"), ("s", "type"): (0, "pass"), ("gone", "missing"): (3, "fail"), ("more", "extra"): (0, "extra")}
+
+
+def test_records_that_do_not_parse_are_quarantined(spark, scratch):
+    from cardlake.sources import jsondocs
+
+    schema = "name string, n int"
+    lines = ['{"name": "a", "n": 1, "_pos": "f:0"}', '{"name": "b"', "noise", '{"name": "c", "n": "many", "_pos": "f:3"}', '{"name": "d", "n": 4}', "",
+             '{"name": null, "_pos": "f:6", "more": [1]}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{scratch}/docs")
+    good, bad = jsondocs.read_lines(spark, f"{scratch}/docs", schema)
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([("a", 1, "f:0"), (None, None, "f:6")], key=str)
+    assert sorted(r.record for r in bad.collect()) == sorted([lines[1], lines[2], lines[3], '{"name":"d","n":4}'])
+    jsondocs.write_lines(good, f"{scratch}/again")
+    assert sorted(map(tuple, jsondocs.read_lines(spark, f"{scratch}/again", schema)[0].collect()), key=str) == sorted(map(tuple, good.collect()), key=str)
+    none, broken = jsondocs.read_lines(spark, f"{scratch}/absent", schema)
+    assert none.count() == broken.count() == 0 and none.columns == ["name", "n", "_pos"]
+
+
+@pytest.mark.parametrize("match", ["substring", "word"])
+def test_indexed_bank_equals_the_literal_one(spark, match):
+    from cardlake.operators import retrieve
+
+    r = random.Random(6)
+    words = ["je", "ve", "lab", "é\U0001f600", "contact", "le labo", "a", "ordre du jour", "", "xyz", "jour de", "日本語の"]
+    bank = spark.createDataFrame([(f"t{k}", k, i, "".join(r.choices(words + [" "], k=r.randint(1, 3)))) for k in range(5) for i in range(30)] + [("t9", 9, 0, None)],
+                                 "type string, type_ord int, kw_ord int, kw string")
+    texts = [None, "", "a", "É\U0001f600"] + ["".join(r.choices(words + [" ", "-"], k=r.randint(1, 9))) for _ in range(80)] + ["ordre du jour " * 2000]
+    questions = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "qid int, question string")
+    bank = bank.where("kw is not null")
+    want = retrieve.classify(questions, bank, match=match)
+    got = retrieve.classify(questions, bank.unionAll(bank.limit(0)), match=match, literal=0)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
