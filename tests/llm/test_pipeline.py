@@ -103,6 +103,6 @@ def test_registered():
     import __spark_entry__ as E
 
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert set(queries.SQL) <= set(E.oracle_sql())
