@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cardlake.operators.evaluate import FAILED
-from cardlake.plans.oracle_cards import CORPUS, _q, _slots
+from cardlake.plans.oracle_cards import CORPUS, FOLD, _q, _slots
 from cardlake.plans.oracle_domain import _S, LOAD
 from cardlake.plans.oracle_events import EVENT_TYPE
 
@@ -71,4 +71,14 @@ bank AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS kw FROM w, range(1,
 scores AS (SELECT doc_id, item_id, count(*) AS n FROM documents JOIN bank ON contains(lower(text), kw) GROUP BY ALL),
 best AS (SELECT doc_id, item_id, n FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id) = 1)
 SELECT d.doc_id, 'item' || item_id AS intent, coalesce(n, 0)::BIGINT AS intent_score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
+    "fold_stream_available": FOLD,
+    "nested_pages": """
+WITH n AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_returnflag,
+                  (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag) - 1) // 100 AS page
+           FROM lineitem),
+p AS (SELECT l_suppkey, page, list({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber, 'l_quantity': l_quantity,
+                                    'l_returnflag': l_returnflag} ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) AS items
+      FROM n GROUP BY l_suppkey, page)
+SELECT s_suppkey, s_name, CAST(page AS BIGINT) AS page, CAST(len(items) AS BIGINT) AS n_items, CAST(to_json(items) AS VARCHAR) AS items_json
+FROM supplier LEFT JOIN p ON s_suppkey = l_suppkey""",
 }

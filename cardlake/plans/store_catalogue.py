@@ -1,6 +1,6 @@
 """Query catalogue, part 5: frames put together from cut pieces, the index brought up to
-date, the staged load, the resumed evaluation and the source declaration over data, on the
-driver tables.  SQL twins in :mod:`cardlake.plans.oracle_store`."""
+date, the staged load, the resumed evaluation, the source declaration over data, the streaming
+fold and re-nesting in pages, on the driver tables.  SQL twins in :mod:`cardlake.plans.oracle_store`."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StringType, StructType
 
-from cardlake.operators import evaluate, index, quality, retrieve
+from cardlake.functions.jsonx import to_json_text
+from cardlake.operators import evaluate, index, paging, quality, retrieve
 from cardlake.operators.embed import md5_encoder
 from cardlake.plans import cards_catalogue, domain_catalogue, events_catalogue
 from cardlake.session import checkpoint_dir, table
 from cardlake.sources import frames, jsondocs, reassembly, staged
+from cardlake.streaming import keeper
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -133,6 +135,28 @@ def source_conformance(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
+def fold_stream_available(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's events, each sent twice and the files in no order, folded by two runs
+    of a stream over what has arrived, the second from the first one's checkpoint; the texts as the
+    stream's Parquet sink gives them back (L1)."""
+    path = _folder(spark, "answer-stream")
+    events = cards_catalogue._conversation_events(spark, sf)
+    for turn, files in ((1, 4), (2, 8)):
+        mixed = events.repartition(8, F.xxhash64("msg_id", "seq", F.lit(turn)))
+        mixed.write.mode("append").parquet(f"{path}/events")
+        keeper.fold_available(spark, f"{path}/events", f"{path}/texts", f"{path}/checkpoint", files=files)
+    return keeper.latest(spark, f"{path}/texts")
+
+
+def nested_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with their line items in pages of 100, whatever a supplier's share of the rows."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("l_quantity"), "l_returnflag")
+    pages = paging.renest_pages(s, li, "s_suppkey", "l_suppkey", ["l_orderkey", "l_linenumber"],
+                                ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], page_rows=100)
+    return pages.select("s_suppkey", "s_name", "page", F.size("items").cast("bigint").alias("n_items"), to_json_text("items").alias("items_json"))
+
+
 QUERIES = {
     "reassemble_frames": reassemble_frames,
     "index_update": index_update,
@@ -141,4 +165,6 @@ QUERIES = {
     "source_conformance": source_conformance,
     "documents_scan": documents_scan,
     "keywords_large_bank": keywords_large_bank,
+    "fold_stream_available": fold_stream_available,
+    "nested_pages": nested_pages,
 }
