@@ -12,8 +12,14 @@ value; the complete distance of every match is then verified.  With 64 bits, rad
 
 A slot with more than ``BUCKET`` fingerprints (a large family of near copies) is not
 joined pair by pair.  Its members meet in blocks, and each pair of blocks yields a
-spanning forest of its links, so the number of rows stays linear and components are the
-same.  Exact copies share one fingerprint and never meet each other at all.
+spanning forest of its links, so a fingerprint makes at most as many rows as its slot has
+blocks and components are the same.  In a slot of more than ``BLOCKS`` blocks the members
+meet halfway instead: each visits all points within half the radius of its whole
+fingerprint (2,081 for radius 4), and all that visit a point are linked to the smallest of them.  Two
+fingerprints within the radius have such a point between them, and those at one point are within
+the radius, so components are the same again, and rows are at most 2,081 a fingerprint
+whatever the size of the family.  Exact copies share one fingerprint and never meet each
+other at all.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ SEED = 42
 BUCKET = 512
 #: fingerprints per block of such a slot
 BLOCK = 16_384
+#: in a slot of more blocks than this, fingerprints meet halfway instead
+BLOCKS = 16
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -114,10 +122,39 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def visited_points(fps: DataFrame, radius: int) -> DataFrame:
+    """(point, fp, inner) of every point within half of ``radius`` (rounded up) of each
+    distinct fingerprint; ``inner``: within half rounded down."""
+    def masks(k: int) -> list[int]:
+        return [m - (1 << 64) if m >> 63 else m for c in combinations(range(64), k) for m in [sum(1 << p for p in c)]]
+
+    def ring(distances: range, inner: bool) -> Column:
+        around = F.lit([m for k in distances for m in masks(k)]).cast("array<bigint>")
+        return F.transform(around, lambda m: F.struct(F.col("fp").bitwiseXOR(m).alias("point"), F.lit(inner).alias("inner")))
+
+    half = radius // 2
+    points = ring(range(half + 1), True)
+    if radius % 2:
+        points = F.concat(points, ring(range(half + 1, half + 2), False))
+    return fps.select("fp", F.explode(points).alias("p")).select("p.point", "fp", "p.inner")
+
+
+def meet_halfway(fps: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links within ``radius`` bits that connect exactly what all such links among the
+    distinct fingerprints ``fp`` connect.  At a point, the smallest fingerprint of those within half
+    the radius rounded down is within ``radius`` of all others there."""
+    points = visited_points(fps, radius)
+    # points that a single fingerprint visits, nearly all, end in the partial counts
+    shared = points.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("inner"), F.col("fp"))).alias("a")).where("n > 1 and a is not null")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    return (points.select("point", F.col("fp").alias("b")).join(shared.select("point", "a"), "point")
+            .where((F.col("a") != F.col("b")) & near).select("a", "b").distinct())
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """(a, b) links between distinct fingerprints ``fp`` that join exactly the fingerprints
     connected by distances of at most ``radius`` bits: every link, except that a crowded
-    slot gives a spanning forest of its links."""
+    slot gives a spanning forest of its links, and a huge one links by way of points between."""
     tables = _tables(radius, segments)
     exact, probes = _slots(fps, tables, False), _slots(fps, tables, True)
     crowded = cut(exact.groupBy("seg", "slot").count().where(F.col("count") > BUCKET).select("seg", "slot"))
@@ -130,7 +167,12 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, segments: int = 3) -> Dat
         return links
 
     members = cut(probes.join(crowded, ["seg", "slot"]))
-    blocks = members.groupBy("seg", "slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    blocks = cut(members.groupBy("seg", "slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")))
+    huge = blocks.where(F.col("nb") > BLOCKS)
+    if huge.take(1):
+        family = members.join(huge, ["seg", "slot"], "left_semi").select("fp").distinct()
+        links = links.unionAll(meet_halfway(family, radius))
+        blocks = blocks.where(F.col("nb") <= BLOCKS)
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     others = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: j != F.col("own")))

@@ -60,10 +60,11 @@ def test_radii_satisfy_the_pigeonhole_bound(radius, segments):
     assert sum(r + 1 for r in simhash.segment_radii(radius, segments)) == radius + 1
 
 
-@pytest.mark.parametrize("bucket, block", [(512, 16_384), (3, 8), (0, 5)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket, block):
+@pytest.mark.parametrize("bucket, block, blocks", [(512, 16_384, 16), (3, 8, 10_000), (0, 5, 10_000), (3, 8, 1)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket, block, blocks):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCKS", blocks)
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**64, 6, np.uint64)
     fps = {0}
@@ -83,6 +84,33 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, bucket, blo
     assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 4 for r in links.collect())
 
 
+@pytest.mark.parametrize("radius", [0, 3, 4])
+def test_meeting_halfway_connects_what_brute_force_connects(spark, radius):
+    rng = np.random.default_rng(radius)
+    fps = {int(c) for c in rng.integers(0, 2**64, 3, np.uint64)}
+    for c in sorted(fps):
+        for _ in range(25):  # walks away from the centre in steps around the radius
+            x = c
+            for b in rng.choice(64, int(rng.integers(1, 9)), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    links = simhash.meet_halfway(spark.createDataFrame([(x,) for x in signed], "fp bigint"), radius)
+    rows = links.collect()
+    assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= radius for r in rows)
+    got = {r.node: r.label for r in connected_components(links, "a", "b").collect()}
+    assert [got.get(x, x) for x in signed] == brute_components(signed, fps, radius)
+
+
+def test_rows_of_a_huge_family_are_linear(spark):
+    """Twice the fingerprints visit twice the points; blocks would have four times the pairs."""
+    def visits(n):
+        return simhash.visited_points(spark.range(n).select(F.col("id").alias("fp")), 4).count()
+
+    assert [visits(n) for n in (100, 200)] == [208_100, 416_200]
+
+
 def test_edge_rows(spark):
     rows = [(3, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "x"), (None, "a b c d e", "x"),
             (7, None, "y"), (9, "", "y"), (8, "  \n", "y"), (None, "only one of its kind here", None),
