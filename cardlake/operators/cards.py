@@ -81,5 +81,6 @@ def union_corpus(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def corpus_counts(cards: DataFrame) -> DataFrame:
-    """Cards per source (E5) and in total (E13, the row without a source), in one aggregate."""
-    return cards.rollup("source").agg(F.count(F.lit(1)).alias("n_cards"))
+    """Cards per source (E5) and in total (E13, the row whose source is null), in one aggregate;
+    cards without a source count under the empty name."""
+    return cards.select(F.coalesce("source", F.lit("")).alias("source")).rollup("source").agg(F.count(F.lit(1)).alias("n_cards"))

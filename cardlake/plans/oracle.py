@@ -6,9 +6,10 @@ word classes are spelled ``\\p{L}\\p{N}_``; ``list()`` keeps NULLs and takes ORD
 
 from __future__ import annotations
 
+from cardlake.functions.names import TITLE_WORDS
 from cardlake.plans.catalogue import DAY_CODES, QUALITY_SPECS, TYPE_CODES
 
-TITLES_SQL = "('pr', 'prof', 'professeur', 'professeure', 'dr')"
+TITLES_SQL = f"({', '.join(f"'{t}'" for t in TITLE_WORDS)})"
 
 
 def normalize_sql(x: str) -> str:
