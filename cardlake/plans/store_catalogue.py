@@ -141,10 +141,12 @@ def fold_stream_available(spark: SparkSession, sf: str) -> DataFrame:
     stream's Parquet sink gives them back (L1)."""
     path = _folder(spark, "answer-stream")
     events = cards_catalogue._conversation_events(spark, sf)
+    # every store costs each micro-batch its opening and its commit: one for 100,000 events
+    stores = max(8, events.count() // 100_000)
     for turn, files in ((1, 4), (2, 8)):
         mixed = events.repartition(8, F.xxhash64("msg_id", "seq", F.lit(turn)))
         mixed.write.mode("append").parquet(f"{path}/events")
-        keeper.fold_available(spark, f"{path}/events", f"{path}/texts", f"{path}/checkpoint", files=files)
+        keeper.fold_available(spark, f"{path}/events", f"{path}/texts", f"{path}/checkpoint", files=files, stores=stores)
     return keeper.latest(spark, f"{path}/texts")
 
 

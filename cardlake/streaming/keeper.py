@@ -108,22 +108,29 @@ def fold_incrementally(stream: DataFrame, idle_ms: int | None = None, key: str =
     return texts.withColumnRenamed("msg_id", key)
 
 
-def fold_available(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 1000, schema: str = "msg_id long, " + EVENT) -> None:
+def fold_available(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 1000, stores: int | None = None,
+                   schema: str = "msg_id long, " + EVENT) -> None:
     """One run over all events that have arrived in the Parquet folder ``source`` since the run
     before (``checkpoint`` remembers them and the state), ``files`` files a micro-batch; texts are
-    appended to the Parquet folder ``sink``.  All three folders must be shared."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, STORE)  # a query takes the session's settings as it starts
+    appended to the Parquet folder ``sink``.  All three folders must be shared.  ``stores`` is the number
+    of state stores (default: the session's shuffle partitions); the first run of a checkpoint fixes it."""
+    # a query takes the session's settings as it starts
+    settings = {"spark.sql.streaming.stateStore.providerClass": STORE}
+    if stores:
+        settings["spark.sql.shuffle.partitions"] = str(stores)
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
         run = (fold_incrementally(stream).writeStream.outputMode("append").format("parquet").option("path", sink)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     run.awaitTermination()
 
 
