@@ -12,20 +12,24 @@ over its projections.  A query visits the cells of each table in the order of th
 from its own cell through perturbed ones, until their sum reaches the chance that makes the
 tables together find ``recall`` of the neighbours.
 
+The number of projections of a table follows the number of vectors, so that a cell holds
+about as many whatever their number.
+
 Equal vectors are indexed once with their smallest ids, and asked once.  Cells are dealt to
 blocks of bounded size, crowded ones split; queries go only to blocks whose cells they
-visit.  A block keeps the best of each query with scores summed in a fixed order, so the
+visit, in as many turns as the queries of that block need, and a block that none visits is
+not shuffled.  A block keeps the best of each query with scores summed in a fixed order, so the
 result does not depend on how rows are dealt.  The tables' candidates are merged and
-ranked by these exact scores.  Uniformly random vectors have no near neighbours to speak
-of: there most cells must be visited to find nine of ten.
+ranked by these exact scores.  Where neighbours are near, rows grow with the vectors and
+the queries.  Uniformly random vectors have no near neighbours to speak of: there most
+cells must be visited to find nine of ten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -33,11 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardlake.llm.joins import measured_broadcast
 from cardlake.session import cut
 
 TABLES = 6
+#: projections of a table, at the least
 PROJECTIONS = 4
 SLOTS = 5
+#: vectors a cell holds on average, at the most
+CELL = 2_048
 #: width of a slot, in standard deviations of a projection
 WIDTH = 0.85
 #: bounds of the sample for the spread and of the queries for the neighbours' distance
@@ -89,16 +97,34 @@ class Index:
         z = (self.edges[None] - centre[:, :, None]) / (self.spread[None, :, None] * np.sqrt(2))
         below = 0.5 * (1 + np.vectorize(erf, otypes=[float])(z))
         share = np.diff(np.concatenate([np.zeros((*below.shape[:2], 1)), below, np.ones((*below.shape[:2], 1))], 2), axis=2)
-        grid = np.array(list(product(range(SLOTS), repeat=self.per_table)))[:, ::-1]
         for s in share:
-            out = []
-            for t in range(self.tables):
-                own = s[t * self.per_table:(t + 1) * self.per_table]
-                likely = np.prod([own[i][grid[:, i]] for i in range(self.per_table)], axis=0)
-                order = np.argsort(-likely, kind="stable")
-                n = len(order) if chance >= 1 else int(np.searchsorted(np.cumsum(likely[order]), chance)) + 1
-                out.append(order[:n])
-            yield out
+            yield [likeliest(s[t * self.per_table:(t + 1) * self.per_table], chance) for t in range(self.tables)]
+
+
+def likeliest(share: np.ndarray, chance: float) -> np.ndarray:
+    """The cells of one table in the order of their chance, until it sums to ``chance``; all
+    of them from 1 on.  ``share``: for each projection the chance of each slot.  Beyond
+    ``PROJECTIONS`` projections, only the likeliest beginnings of cells are carried on, fewer
+    with each projection; together they always hold more than ``chance``."""
+    likely, code = np.ones(1), np.zeros(1, np.int64)
+    late = len(share) - PROJECTIONS
+    for i, own in enumerate(share):
+        likely = np.outer(own, likely).ravel()
+        code = (np.arange(SLOTS)[:, None] * SLOTS ** i + code).ravel()
+        step = i - PROJECTIONS + 2
+        if step > 0 and i + 1 < len(share) and chance < 1:
+            held = np.argsort(-likely, kind="stable")
+            enough = chance + (1 - chance) * (1 - step / (late + 1))
+            held = np.sort(held[:int(np.searchsorted(np.cumsum(likely[held]), enough)) + 1])
+            likely, code = likely[held], code[held]
+    order = np.argsort(-likely, kind="stable")
+    n = len(order) if chance >= 1 else int(np.searchsorted(np.cumsum(likely[order]), chance)) + 1
+    return code[order[:n]]
+
+
+def projections_for(n_vectors: int) -> int:
+    """Projections of a table at which a cell holds at most ``CELL`` of ``n_vectors`` on average."""
+    return max(PROJECTIONS, ceil(log(max(n_vectors, 1) / CELL, SLOTS)))
 
 
 def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -224,12 +250,14 @@ def fit(vectors: DataFrame, k: int, tables: int = TABLES, projections: int = PRO
     return index
 
 
-def search(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int, n_queries: int, k: int, chance: float) -> DataFrame:
-    """(h1, h2, vec_id, score): the ``k`` best ids found for each distinct query vector."""
+def keyed(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int, chance: float) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors under the keys (tab, block, part, turn) by which they meet: a
+    vector once for each table and turn of its block, a query once for each block that it
+    visits and each part of that."""
     room = max(1, BLOCK // len(index.directions))  # rows
-    blocks, rounds = max(1, ceil(n_vectors / room)), max(1, ceil(n_queries / room))
+    blocks = max(1, ceil(n_vectors / room))
     tables = index.tables
-    where = "tab int, block int"
+    where = "tab int, block bigint"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,37 +265,55 @@ def search(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int,
             rows = pa.array(np.repeat(np.arange(b.num_rows), tables))
             tab = np.tile(np.arange(tables), b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tab, pa.int32()), pa.array(cells.ravel() % blocks, pa.int32()), pa.array(cells.ravel(), pa.int32()),
+                [pa.array(tab, pa.int32()), pa.array(cells.ravel() % blocks), pa.array(cells.ravel()),
                  *(b.column(c).take(rows) for c in ("h1", "h2", "vec", "ids"))], names=["tab", "block", "cell", "h1", "h2", "vec", "ids"])
 
+    def visits(part: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(row, table, block, cells) that the queries of a slice visit."""
+        for i, per in enumerate(index.probes(_stack(part.column("vec").to_pylist()), chance)):
+            for t, cells in enumerate(per):
+                at = cells % blocks
+                order = np.argsort(at, kind="stable")
+                present, start = np.unique(at[order], return_index=True)
+                for j, own in zip(present.tolist(), np.split(cells[order], start[1:]), strict=True):
+                    yield i, t, j, own
+
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                at, tab, block, lists = [], [], [], []
-                for i, per in enumerate(index.probes(_stack(part.column("vec").to_pylist()), chance)):
-                    for t, cells in enumerate(per):
-                        for j in np.unique(cells % blocks):
-                            at.append(i)
-                            tab.append(t)
-                            block.append(int(j))
-                            lists.append(cells[cells % blocks == j])
+                at, tab, block, lists = zip(*visits(part), strict=True)
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tab, pa.int32()), pa.array(block, pa.int32()), pa.array(lists, pa.list_(pa.int32())),
+                    [pa.array(tab, pa.int32()), pa.array(block, pa.int64()), pa.array(lists, pa.list_(pa.int64())),
                      *(part.column(c).take(rows) for c in ("h1", "h2", "vec"))], names=["tab", "block", "cells", "h1", "h2", "vec"])
 
-    members = vectors.mapInArrow(hashed, f"{where}, cell int, h1 bigint, h2 bigint, vec array<double>, ids array<bigint>")
-    asked = queries.mapInArrow(asking, f"{where}, cells array<int>, h1 bigint, h2 bigint, vec array<double>")
-    # a block of crowded cells is split; its queries then go to every part
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                pairs = np.array([(t, j) for _, t, j, _ in visits(b.slice(lo, 256))], np.int64)
+                found, n = np.unique(pairs, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1]), pa.array(n)],
+                                                 names=["tab", "block", "n"])
+
+    members = vectors.mapInArrow(hashed, f"{where}, cell bigint, h1 bigint, h2 bigint, vec array<double>, ids array<bigint>")
+    asked = queries.mapInArrow(asking, f"{where}, cells array<bigint>, h1 bigint, h2 bigint, vec array<double>")
+    # a block of crowded cells is split; its queries then go to every part, in turns if they are many
     parts = members.groupBy("tab", "block").agg(F.ceil(F.count(F.lit(1)) / (2 * room)).cast("int").alias("parts"))
+    turns = (queries.mapInArrow(counted, f"{where}, n bigint").groupBy("tab", "block")
+             .agg(F.ceil(F.sum("n") / (2 * room)).cast("int").alias("turns")))
+    shape = measured_broadcast(cut(parts.join(turns, ["tab", "block"])), 32)
+    members = (members.join(shape, ["tab", "block"]).withColumn("part", F.pmod("h1", F.col("parts")).cast("int"))
+               .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("parts", "turns", "h1", "h2"))
+    asked = (asked.join(shape, ["tab", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("turn", F.pmod("h2", F.col("turns")).cast("int")).drop("parts", "turns"))
+    return asked, members
+
+
+def search(queries: DataFrame, vectors: DataFrame, index: Index, n_vectors: int, k: int, chance: float) -> DataFrame:
+    """(h1, h2, vec_id, score): the ``k`` best ids found for each distinct query vector."""
     keys = ["tab", "block", "part", "turn"]
-    members = (members.join(F.broadcast(parts), ["tab", "block"])  # one row per table and block
-               .withColumn("part", F.pmod("h1", F.col("parts")).cast("int"))
-               .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).drop("parts", "h1", "h2"))
-    asked = (asked.join(F.broadcast(parts), ["tab", "block"])
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumn("turn", F.pmod("h2", F.lit(rounds)).cast("int")).drop("parts"))
+    asked, members = keyed(queries, vectors, index, n_vectors, chance)
 
     def meet(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(have) or not len(ask):
@@ -309,20 +355,20 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     ``recall`` is the share of true neighbours aimed at.  A query that finds fewer than
     ``k`` ids though there are more visits all cells."""
     vectors, named = distinct_vectors(rows, id_col, vec_col, k + 1)
-    index = fit(vectors, k)
+    n = vectors.count()
+    index = fit(vectors, k, projections=projections_for(n))
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if index is None:
         return rows.sparkSession.createDataFrame([], schema)
     asking = rows.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
     asked_ids = named.join(asking, "id").select(F.col("id").alias("query_id"), "h1", "h2")
     asked = cut(vectors.drop("ids").join(asked_ids.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi"))
-    n, m = vectors.count(), asked.count()
     chance = 1 - (1 - recall) ** (1 / index.tables)
-    found = cut(search(asked, vectors, index, n, m, k + 1, chance))
+    found = cut(search(asked, vectors, index, n, k + 1, chance))
     every = named.limit(k + 1).count()
     few = asked.join(found.groupBy("h1", "h2").count().where(F.col("count") >= every).select("h1", "h2"), ["h1", "h2"], "left_anti")
     if few.take(1):
-        again = search(few, vectors, index, n, m, k + 1, 1.0)
+        again = search(few, vectors, index, n, k + 1, 1.0)
         found = found.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti").unionAll(again.select(*found.columns))
     pairs = asked_ids.join(found, ["h1", "h2"]).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -108,3 +108,56 @@ def test_probe_order_is_by_chance():
     assert len(order) == 625 and np.all(np.diff(share) < 0.01)
     (short,), = [list(index.probes(q, 0.5))]
     assert abs(np.cumsum(share)[len(short[0]) - 1] - 0.5) < share[0] + 0.02
+
+
+def clustered(n, seed=4):
+    """Vectors in tight clusters of 50, so that the work of a query need not grow with n."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 50, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = np.repeat(centres, 50, 0) + rng.normal(size=(n // 50 * 50, 16)) * 0.02
+    return [(i, [float(x) for x in w]) for i, w in enumerate(v)]
+
+
+def test_projections_follow_the_number_of_vectors(spark, monkeypatch):
+    assert [ann.projections_for(n) for n in (0, 1, 10_000, 625 * ann.CELL)] == [4] * 4
+    assert ann.projections_for(625 * ann.CELL + 1) == 5 and ann.projections_for(10 ** 10) == 10
+    monkeypatch.setattr(ann, "CELL", 1)  # six projections, cut beginnings
+    monkeypatch.setattr(ann, "BLOCK", 10_000)
+    rows = clustered(6_000)
+    assert ann.projections_for(len(rows)) == 6
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = as_dict(ann.nearest(df, F.col("vec_id") % 20 == 0, 20)), brute(rows, lambda i: i % 20 == 0, 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_shuffled_rows_grow_with_the_data(spark, monkeypatch):
+    """Vectors are sent once a table, in all about twice the rows for twice the data.  A query
+    visits somewhat more of the finer cells, so its part is above twice, and below the four
+    times of comparing with all."""
+    monkeypatch.setattr(ann, "CELL", 2)
+    monkeypatch.setattr(ann, "BLOCK", 10_000)
+    sent = []
+    for n in (4_000, 8_000, 16_000):
+        df = spark.createDataFrame(clustered(n), "vec_id long, embedding array<double>")
+        vectors, _ = ann.distinct_vectors(df, "vec_id", "embedding", 21)
+        index = ann.fit(vectors, 20, projections=ann.projections_for(n))
+        asked, members = ann.keyed(vectors.where("ids[0] % 20 = 0").drop("ids"), vectors, index, n, 1 - 0.06 ** (1 / 6))
+        sent.append((members.count(), asked.count()))
+    for (m0, a0), (m1, a1) in zip(sent, sent[1:]):
+        assert m1 == 2 * m0 and m1 + a1 <= 2.2 * (m0 + a0) and a1 < 3 * a0, sent
+
+
+def test_likeliest_cells_of_many_projections():
+    rng = np.random.default_rng(8)
+    share = rng.dirichlet(np.full(5, 0.5), size=7)
+    chance = {}
+    for c in range(5 ** 7):
+        chance[c] = np.prod([share[i][c // 5 ** i % 5] for i in range(7)])
+    every = ann.likeliest(share, 1.0)
+    assert sorted(every.tolist()) == list(range(5 ** 7))
+    for aim in (0.1, 0.374, 0.8):
+        some = ann.likeliest(share, aim)
+        own = np.array([chance[c] for c in some.tolist()])
+        assert len(set(some.tolist())) == len(some) and np.all(np.diff(own) <= 1e-15)
+        assert own.sum() >= aim - 1e-9 > own[:-1].sum() - 1e-9
