@@ -131,3 +131,21 @@ def test_idf_encoder(spark):
     assert not qv[10].any() and not qv[12].any()  # only the everywhere-word / no text: zero vector
     assert abs(float(qv[11] @ vec[1]) - float(np.max([qv[11] @ v for v in vec.values()]))) < 1e-9
     assert float(qv[11] @ vec[1]) > 0.5
+
+
+def test_md5_encoder(spark):
+    """The slot of a word is the number in the first 8 digits of its MD5 modulo the width,
+    for widths that are powers of 16 and others; missing and wordless texts give zeros (J1)."""
+    import hashlib
+    import re
+
+    texts = ["Le mail, LE mail: été_1 ½", "", None, " ..!", "x" * 9000 + " y" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "card_id long, page_content string")
+    for dim in (16, 100, 256):
+        got = {r.card_id: np.array(r.vec) for r in embed.md5_encoder(df, dim=dim).collect()}
+        for i, t in enumerate(texts):
+            n = np.zeros(dim)
+            for w in re.split(r"\W+", (t or "").lower()):
+                if w:
+                    n[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1
+            assert np.array_equal(got[i], n / max(np.sqrt((n * n).sum()), 1e-300))
