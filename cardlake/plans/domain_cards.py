@@ -107,11 +107,14 @@ def member_labs(labs: DataFrame) -> DataFrame:
     """member key -> (lab, acronym, director, team), first wins (C4, C5, E6).  Teams and
     members are read from the nested ``equipes`` column, never parsed back from text
     (H4)."""
-    teams = labs.select("_pos", "nom_laboratoire", "acronyme", "directeur",
-                        F.posexplode(F.coalesce("equipes", F.array())).alias("t_idx", "t"))
-    mem = teams.select("_pos", "nom_laboratoire", "acronyme", "directeur", "t_idx", F.col("t.nom_equipe").alias("team"),
-                       F.posexplode(F.coalesce("t.membres", F.array())).alias("m_idx", "m"))
-    mem = mem.select(normalize_name(F.col("m.nom_membre")).alias("key"), "_pos", "nom_laboratoire", "acronyme",
+    def members(t: Column, t_idx: Column) -> Column:
+        return F.transform(F.coalesce(t["membres"], F.array()), lambda m, m_idx: F.struct(
+            m["nom_membre"].alias("m"), t["nom_equipe"].alias("team"), t_idx.alias("t_idx"), m_idx.alias("m_idx")))
+
+    # flat in one step: exploded team by team, every member's row would carry its whole team
+    flat = F.flatten(F.transform(F.coalesce("equipes", F.array()), members))
+    mem = labs.select("_pos", "nom_laboratoire", "acronyme", "directeur", F.inline(flat))
+    mem = mem.select(normalize_name(F.col("m")).alias("key"), "_pos", "nom_laboratoire", "acronyme",
                      "directeur", "team", "t_idx", "m_idx")
     return pick_one(mem, "key", ["_pos", "t_idx", "m_idx"],
                     ["nom_laboratoire", "acronyme", "directeur", "team"])
